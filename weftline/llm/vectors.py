@@ -27,6 +27,8 @@ LISTS = 4096  # centroids at most; a list far above the average is divided again
 HOT = 8  # times the average list
 BLOCK = 4096  # vectors, or queries, of one list in one task at once
 FIELD = 1 << 24  # list numbers of one field
+MARGIN = 0.006  # above the error that eight bits a dimension of a query can make in a similarity
+SMALL = 1_000_000  # pairs of which the exact check broadcasts the pairs instead of shuffling the vectors
 
 
 def _binary(m: np.ndarray) -> pa.Array:
@@ -107,6 +109,16 @@ class Index:
     blocks: dict[int, tuple[int, int]]  # list: (blocks of vectors, blocks of queries)
 
 
+def short(x: np.ndarray) -> np.ndarray:
+    """Vectors as eight bits a dimension, followed by the four bytes of their scale: how queries travel to other lists."""
+    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30).astype(np.float32) / np.float32(127)
+    return np.concatenate([np.rint(x / scale).astype(np.int8).view(np.uint8), np.ascontiguousarray(scale).view(np.uint8)], axis=1)
+
+
+def unshort(b: np.ndarray) -> np.ndarray:
+    return b[:, :-4].view(np.int8).astype(np.float32) * np.ascontiguousarray(b[:, -4:]).view(np.float32)
+
+
 def _lists(index: Index):
     """(list, n): how many vectors of a batch lie in each list, and how many probe it."""
 
@@ -178,19 +190,19 @@ def _place(index: Index, probes: int):
                         pa.array(dblk),
                         pa.array(qblk),
                         pa.array(ids[row]),
-                        pa.array(as_data),
                         pa.array(as_query),
-                        _binary(x[row]),
-                        _binary(code[row]),
-                        *(pa.array(np.where(as_data, s[row], 0).astype(np.float32)) for s in (length, self_ip, with_c)),
+                        _binary(x).take(pa.array(row, mask=~as_data)),
+                        _binary(code).take(pa.array(row, mask=~as_data)),
+                        *(pa.array(s[row].astype(np.float32), mask=~as_data) for s in (length, self_ip, with_c)),
+                        _binary(short(x)).take(pa.array(row, mask=as_data)),
                     ],
-                    names=["list", "dblk", "qblk", "cid", "as_data", "as_query", "vec", "code", "length", "self_ip", "with_c"],
+                    names=["list", "dblk", "qblk", "cid", "as_query", "vec", "code", "length", "self_ip", "with_c", "short"],
                 )
 
     return run
 
 
-PLACED = "list int, dblk int, qblk int, cid long, as_data boolean, as_query boolean, vec binary, code binary, length float, self_ip float, with_c float"
+PLACED = "list int, dblk int, qblk int, cid long, as_query boolean, vec binary, code binary, length float, self_ip float, with_c float, short binary"
 
 
 def _search(index: Index, k: int, least: float | None, eps: float):
@@ -199,57 +211,64 @@ def _search(index: Index, k: int, least: float | None, eps: float):
     def run(t: pa.Table) -> pa.Table:
         list_no = t.column("list")[0].as_py()
         f, c = list_no // FIELD, index.centroids[list_no // FIELD][list_no % FIELD]
-        cid, x = t.column("cid").to_numpy(), _matrix(t.column("vec"), np.float32)
-        data = np.flatnonzero(t.column("as_data").to_numpy(zero_copy_only=False))
-        asks = np.flatnonzero(t.column("as_query").to_numpy(zero_copy_only=False))
-        dim = x.shape[1]
+        t = t.combine_chunks()
+        is_data = pc.is_valid(t.column("vec"))
+        held, others = t.filter(is_data), t.filter(pc.invert(is_data))
+        asked = pc.equal(held.column("as_query"), True)
         out: list[tuple[np.ndarray, ...]] = []
-        if len(data):
-            signs = (np.unpackbits(_matrix(t.column("code"), np.uint8)[data], axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-            length, self_ip, with_c = (t.column(s).to_numpy()[data] for s in ("length", "self_ip", "with_c"))
+        if held.num_rows:
+            x = _matrix(held.column("vec"), np.float32)
+            dcid, dim = held.column("cid").to_numpy(), x.shape[1]
+            own = asked.to_numpy(zero_copy_only=False)
+            qx, qcid = x[own], dcid[own]
+            if others.num_rows:
+                qx = np.concatenate([qx, unshort(_matrix(others.column("short"), np.uint8))])
+                qcid = np.concatenate([qcid, others.column("cid").to_numpy()])
+            signs = (np.unpackbits(_matrix(held.column("code"), np.uint8), axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+            length, self_ip, with_c = (held.column(s).to_numpy() for s in ("length", "self_ip", "with_c"))
             self_ip = np.maximum(self_ip, 1e-6)
             scale = (length / self_ip)[None, :]
             spread = (eps * length * np.sqrt(np.maximum(1 - self_ip**2, 0) / max(dim - 1, 1)) / self_ip)[None, :]
-            dx, dcid = x[data].astype(np.float64), cid[data]
-            step = max(1, 2_000_000 // len(data))
-            for i in range(0, len(asks), step):
-                q = asks[i : i + step]
-                r = x[q] - c
+            step = max(1, 2_000_000 // len(x))
+            for i in range(0, len(qx), step):
+                qs, qc = qx[i : i + step], qcid[i : i + step]
+                r = qs - c
                 # <x, q> = <c, q> + <r_x, q - c> + <r_x, c>, the middle one estimated from the bits
-                about = ((r @ index.turn.T) @ signs.T) * scale + (x[q] @ c)[:, None] + with_c[None, :]
-                err = spread * np.linalg.norm(r, axis=1)[:, None] + 1e-5
+                about = ((r @ index.turn.T) @ signs.T) * scale + (qs @ c)[:, None] + with_c[None, :]
+                err = spread * np.linalg.norm(r, axis=1)[:, None] + MARGIN
                 upper = about + err
-                upper[cid[q][:, None] == dcid[None, :]] = -9
+                upper[qc[:, None] == dcid[None, :]] = -9
                 want = upper >= (-2 if least is None else least)
-                if len(data) > k + 1 and least is None:
+                if len(x) > k + 1 and least is None:
                     lower = np.where(upper < -8, -9, about - err)
-                    want &= upper >= np.partition(lower, len(data) - k, axis=1)[:, len(data) - k][:, None]
+                    want &= upper >= np.partition(lower, len(x) - k, axis=1)[:, len(x) - k][:, None]
                 qi, di = np.nonzero(want)
                 if not len(qi):
                     continue
-                sim = np.concatenate([np.einsum("ij,ij->i", x[q[qi[j : j + 65536]]].astype(np.float64), dx[di[j : j + 65536]]) for j in range(0, len(qi), 65536)])
+                sim = np.concatenate([np.einsum("ij,ij->i", qs[qi[j : j + 65536]], x[di[j : j + 65536]], dtype=np.float64) for j in range(0, len(qi), 65536)])
                 if least is not None:
-                    fit = sim >= least
+                    fit = sim >= least - MARGIN
                     qi, di, sim = qi[fit], di[fit], sim[fit]
                 order = np.lexsort((dcid[di], -sim, qi))
                 qi, di, sim = qi[order], di[order], sim[order]
                 start = np.flatnonzero(np.diff(qi, prepend=-1))
                 rank = np.arange(len(qi)) - np.repeat(start, np.diff(np.append(start, len(qi))))
                 top = rank < k
-                out.append((cid[q[qi[top]]], dcid[di[top]], sim[top]))
+                out.append((qc[qi[top]], dcid[di[top]], sim[top]))
         q, d, s = (np.concatenate([o[j] for o in out]) if out else np.zeros(0, kind) for j, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
         return pa.table({"field": pa.array(np.full(len(q), f, np.int32)), "q": q, "d": d, "sim": s})
 
     return run
 
 
-def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int = 8, eps: float = 1.9, both_ways: bool = True) -> DataFrame:
+def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int = 8, eps: float = 1.9, both_ways: bool = True, exact: bool = True) -> DataFrame:
     """(field, q, d, sim): the k most similar other vectors of each vector, best first, ties by the lower id.
 
     ``classes`` holds (field int, cid long, vec binary), unit vectors that differ within a field, as written by
     ``vector_classes``; it is read several times. ``least`` asks only for vectors at least so similar. ``probes`` lists
     are searched for each vector, ``eps`` scales the error bound (1.9: it holds for nearly all pairs). ``both_ways``
-    lets a pair found from one side count for the other too. The centroids are fitted on a bounded sample; lists that
+    lets a pair found from one side count for the other too; with ``exact`` the similarities of what was found are
+    computed anew from the whole vectors, else a query's vector has eight bits a dimension. The centroids are fitted on a bounded sample; lists that
     come out far above the average are divided again, and what is still large is searched in blocks.
     """
     spark = classes.sparkSession
@@ -273,6 +292,10 @@ def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int
     index.blocks = {at: (-(-n // BLOCK), -(-n * probes // BLOCK)) for at, n in counts.items() if n > 2 * BLOCK}
     placed = classes.mapInArrow(_place(index, probes), PLACED)
     found = placed.groupBy("list", "dblk", "qblk").applyInArrow(_search(index, k, least, eps), "field int, q long, d long, sim double")
+    if exact:
+        pair = (F.least("q", "d").alias("q"), F.greatest("q", "d").alias("d")) if both_ways else ("q", "d")
+        found = _checked(cut(found.select("field", *pair).distinct()), classes)
+        found = found if least is None else found.filter(F.col("sim") >= least)
     if both_ways:
         found = cut(found)
         found = found.unionByName(found.select("field", F.col("d").alias("q"), F.col("q").alias("d"), "sim")).distinct()
@@ -280,6 +303,22 @@ def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int
     return found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
 
 
+def _checked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(field, q, d, sim) of pairs (field, q, d), from both whole vectors. Few pairs are broadcast, others shuffled."""
+    few = pairs.count() <= SMALL
+    side = lambda c: classes.select("field", F.col("cid").alias(c), F.col("vec").alias("v" + c))
+    hint = F.broadcast if few else (lambda df: df)
+    one = cut(side("q").join(hint(pairs), ["field", "q"]))
+    both = side("d").join(hint(one) if few and one.count() <= SMALL // 10 else one, ["field", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.einsum("ij,ij->i", _matrix(b.column("vq"), np.float32), _matrix(b.column("vd"), np.float32), dtype=np.float64) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("field"), b.column("q"), b.column("d"), pa.array(s)], names=["field", "q", "d", "sim"])
+
+    return both.select("field", "q", "d", "vq", "vd").mapInArrow(run, "field int, q long, d long, sim double")
+
+
 def _divide(classes: DataFrame, index: Index, hot: dict[int, int], sizes: dict[int, int]) -> Index:
     """More centroids inside lists that hold far more than the average, fitted on a bounded sample of those lists."""
     known = index
