@@ -12,11 +12,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.runtime import Cut, cut
+from weftline.runtime import Cut, cut, ship
 
+LOCAL = 1_000_000  # links up to which circles are looked for in one task, by the same steps
 FAN = 64  # buckets into which the children of one parent are spread
 TOP = -1  # the node above all tree roots
 
@@ -37,9 +40,63 @@ def links(tags: DataFrame, key: str, parents: str, children: str) -> tuple[DataF
     return nodes, cut(told.join(of("p"), "ps").join(of("c"), "cs").select("p", "c", "ps"))
 
 
-def circles(edges: DataFrame) -> DataFrame:
+def _circles_here(t: pa.Table) -> pa.Table:
+    """All links of a small table: peel leaves and roots, then find components depth first."""
+    ends = np.stack([t.column("p").to_numpy(), t.column("c").to_numpy()])
+    ids, at = np.unique(ends, return_inverse=True)
+    p, c = at.reshape(2, -1)
+    while len(p):
+        keep = np.isin(c, p) & np.isin(p, c)
+        if keep.all():
+            break
+        p, c = p[keep], c[keep]
+    kids: dict[int, list[int]] = {}
+    for x, y in zip(p.tolist(), c.tolist()):
+        kids.setdefault(x, []).append(y)
+    low: dict[int, int] = {}
+    index: dict[int, int] = {}
+    trail: list[int] = []
+    open_: set[int] = set()
+    node, scc = [], []
+    for start in kids:
+        if start in index:
+            continue
+        work = [(start, iter(kids[start]))]
+        index[start] = low[start] = len(index)
+        trail.append(start)
+        open_.add(start)
+        while work:
+            x, rest = work[-1]
+            for y in rest:
+                if y not in index:
+                    index[y] = low[y] = len(index)
+                    trail.append(y)
+                    open_.add(y)
+                    work.append((y, iter(kids.get(y, ()))))
+                    break
+                if y in open_:
+                    low[x] = min(low[x], index[y])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[x])
+                if low[x] == index[x]:
+                    part = []
+                    while not part or part[-1] != x:
+                        part.append(trail.pop())
+                        open_.discard(part[-1])
+                    if len(part) > 1:
+                        node += part
+                        scc += [min(part)] * len(part)
+    return pa.table({"id": ids[np.array(node, np.int64)] if node else np.zeros(0, np.int64), "scc": ids[np.array(scc, np.int64)] if scc else np.zeros(0, np.int64)})
+
+
+def circles(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """(id, scc): nodes on circles of two or more links, scc being the same for the nodes of one component."""
     core = Cut(edges.filter("p <> c").select("p", "c").distinct())
+    if core.df.count() <= local:
+        ship(edges.sparkSession)
+        return core.df.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_circles_here, "id long, scc long")
     found: list[DataFrame] = []
 
     def peel(e: Cut) -> tuple[Cut, int]:
@@ -122,7 +179,6 @@ def euler(tree: DataFrame) -> DataFrame:
     # n counts the arcs from here to the end, so a larger n comes earlier; the changes from here on add up to -depth.
     total = at.df.agg(F.max("n")).first()[0] or 0
     pos = F.lit(total) - F.col("n")
-    node = F.floor(F.col("arc") / 2).cast("long")
     node = F.shiftright("arc", 1)
     is_down = F.col("arc") % 2 == 0
     return cut(at.df.groupBy(node.alias("id")).agg(F.max(F.when(is_down, pos)).alias("entry"), F.max(F.when(~is_down, pos)).alias("exit"), F.max(F.when(is_down, -F.col("w"))).alias("depth")))
@@ -226,7 +282,7 @@ class Hierarchy:
         return pairs.join(name("a", "slug"), "a").join(name("id", "descendant"), "id").select("slug", "descendant")
 
 
-def hierarchy(tags: DataFrame, key: str = "_id", parents: str = "parent_slugs", children: str = "child_slugs") -> Hierarchy:
+def hierarchy(tags: DataFrame, key: str = "_id", parents: str = "parent_slugs", children: str = "child_slugs", local: int = LOCAL) -> Hierarchy:
     """The forest, the links outside it and the circles of a table of tags.
 
     A link exists if any row of either end tells it and both ends are keys of the table. Null and blank slugs are
@@ -234,7 +290,7 @@ def hierarchy(tags: DataFrame, key: str = "_id", parents: str = "parent_slugs",
     table gives an empty hierarchy. Further columns are not read.
     """
     nodes, edges = links(tags, key, parents, children)
-    scc = cut(circles(edges))
+    scc = cut(circles(edges, local))
     at = lambda end, to: scc.select(F.col("id").alias(end), F.col("scc").alias(to))
     free = edges.filter("p <> c").join(at("p", "sp"), "p", "left").join(at("c", "sc"), "c", "left").filter("sp is null or sc is null or sp <> sc")
     chosen = cut(free.groupBy("c").agg(F.min(F.struct("ps", "p")).alias("m")).select("c", F.col("m.p").alias("p")))
