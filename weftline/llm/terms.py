@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.sampling import hashed
 from weftline.runtime import ship
 
 BURST = 256  # terms that a container holds before it bursts into one for each next character
@@ -156,7 +157,10 @@ def term_counts(records: DataFrame, terms: str) -> DataFrame:
     """
     ship(records.sparkSession)
     arrays = records.select(clean_terms(F.col(f"`{terms}`")).alias("every")).filter("size(every) > 0").select("every", F.array_distinct("every").alias("once"))
-    sample = arrays.select(F.explode("once").alias("term")).distinct().orderBy(F.xxhash64("term"), "term").limit(ROUTE_SAMPLE).collect()
+    each = arrays.select(F.explode("once").alias("term"))
+    distinct = each.agg(F.approx_count_distinct("term")).first()[0]
+    top = 2**63 - 1 if distinct <= ROUTE_SAMPLE else int(-(2**63) + ROUTE_SAMPLE / distinct * 2**64)
+    sample = each.filter(hashed("term") <= F.lit(top)).distinct().limit(2 * ROUTE_SAMPLE).collect()
     routes = routes_of([r.term for r in sample])
     return arrays.mapInArrow(_count(routes), SUBTREE).groupBy("route").applyInArrow(_merge, "term string, n_occ long, n_rec long")
 

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.sampling import by_hash
 from weftline.runtime import cut, ship
 
 TRAIN = 65_536  # at most so many vectors of a field, chosen by hash, to fit the centroids on; every vector is indexed
@@ -51,22 +52,26 @@ def _matrix(a: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(a.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(kind).reshape(len(a), -1)
 
 
+def usable_units(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The usable vectors of a list column at unit length, and which rows they are of."""
+    fit = pc.equal(pc.list_value_length(col), dim).fill_null(False)
+    m = col.filter(fit).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = np.abs(m).max(axis=1, initial=0)
+        ok = np.isfinite(m).all(axis=1) & (scale > 0)
+    m = m[ok] / scale[ok, None]
+    at = np.flatnonzero(fit.to_numpy(zero_copy_only=False))[ok]
+    return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32), at
+
+
 def _units(fields: list[str], dim: int):
     """Rows (id, vectors) to rows (field, id, vec): usable vectors, as unit length float32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f in range(len(fields)):
-                col, ids = b.column(f + 1), b.column(0)
-                fit = pc.equal(pc.list_value_length(col), dim).fill_null(False)
-                col, ids = col.filter(fit), ids.filter(fit)
-                m = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    scale = np.abs(m).max(axis=1, initial=0)
-                    ok = np.isfinite(m).all(axis=1) & (scale > 0)
-                m = m[ok] / scale[ok, None]
-                m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), f, np.int32)), ids.filter(pa.array(ok)), _binary(m)], names=["field", "id", "vec"])
+                m, at = usable_units(b.column(f + 1), dim)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), f, np.int32)), b.column(0).take(pa.array(at)), _binary(m)], names=["field", "id", "vec"])
 
     return run
 
@@ -278,7 +283,7 @@ def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int
     for f, n in sorted(sizes.items()):
         lists = min(LISTS, max(1, round(n**0.5)))
         most = min(TRAIN, TRAIN_A_LIST * lists)
-        rows = classes.filter(F.col("field") == f).select("vec").orderBy(F.xxhash64("vec")).limit(most).collect()
+        rows = by_hash(classes.filter(F.col("field") == f).select("vec"), "vec", n, most).collect()
         x = np.stack([np.frombuffer(r.vec, np.float32) for r in rows])
         index.centroids[f] = kmeans(x, lists)
         index.turn = rotation(x.shape[1])
@@ -334,7 +339,7 @@ def _divide(classes: DataFrame, index: Index, hot: dict[int, int], sizes: dict[i
                     held = np.flatnonzero(np.isin(near, list(hot)))
                     yield pa.RecordBatch.from_arrays([pa.array(near[held].astype(np.int32)), v.take(pa.array(held))], names=["list", "vec"])
 
-    rows = classes.mapInArrow(only, "list int, vec binary").orderBy(F.xxhash64("vec")).limit(TRAIN).collect()
+    rows = by_hash(classes.mapInArrow(only, "list int, vec binary"), "vec", sum(hot.values()), TRAIN).collect()
     held: dict[int, list[np.ndarray]] = {}
     for r in rows:
         held.setdefault(r.list, []).append(np.frombuffer(r.vec, np.float32))
