@@ -1,8 +1,8 @@
 """Items into containers of fixed capacity: best fit decreasing in partitions, certified by lower bounds.
 
 Dual feasible functions bound from below how many containers a partition's items need. Where best fit decreasing
-reaches the bound, the partition is certified and only its least filled container stays open; where a gap is left, the
-least filled containers do, more of them the larger the gap. The documents of all open containers are exchanged, that
+reaches the bound, the partition is certified and only its least filled container stays open, with those under 95 %; where a
+gap is left, more of the least filled do, the larger the gap. The documents of all open containers are exchanged, that
 is partitioned anew, and packed again, until they fit into one partition.
 """
 
@@ -17,8 +17,9 @@ from weftline.llm.tokens import VOCABULARY, sized
 from weftline.runtime import Cut, cut, ship
 
 CAPACITY = 2048
+FULL = 0.95  # containers filled less stay open too, as long as exchanging makes headway
 CONTAINERS = 512  # about so many containers are packed in one partition
-ROUNDS = 6
+ROUNDS = 40  # at most; the open containers' tokens shrink at least by half a round or so, and it ends when they do not
 PACKED = "doc_id long, piece int, size int, part int, bin int, open boolean, bound int, bins int"
 
 
@@ -78,6 +79,7 @@ def _pack(capacity: int):
         order = np.argsort(fill, kind="stable")[: 1 + 4 * gap]
         is_open = np.zeros(len(fill), bool)
         is_open[order[fill[order] < capacity]] = True
+        is_open |= fill < FULL * capacity
         m = len(sizes)
         return pa.table({"doc_id": t.column("doc_id"), "piece": t.column("piece"), "size": t.column("size"), "part": t.column("part"), "bin": where, "open": is_open[where], "bound": pa.array(np.full(m, bound, np.int32)), "bins": pa.array(np.full(m, len(fill), np.int32))})
 
@@ -101,15 +103,15 @@ def packed(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocab
     # Full containers are named by what they hold; the others by round, part and number (bit 62 keeps them apart).
     done = [whole.select("doc_id", "piece", "n_tokens", F.concat_ws("-", F.lit("f"), "doc_id", "piece").alias("container"))]
     rest = todo.df.filter(F.col("size") < capacity)
+    before = None
     for r in range(ROUNDS):
         mass = rest.agg(F.sum("size")).first()[0]
         if not mass:
             break
         parts = max(1, -(-mass // (capacity * containers)))
-        if r == ROUNDS - 1:
-            parts = min(parts, max(1, parts // 2))
         placed = cut(rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(r)), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_pack(capacity), PACKED))
-        last = parts == 1 or r == ROUNDS - 1
+        last = parts == 1 or r == ROUNDS - 1 or (before is not None and mass >= before)
+        before = mass
         closed = placed if last else placed.filter("not open")
         done.append(closed.select("doc_id", "piece", F.col("size").cast("long").alias("n_tokens"), F.concat_ws("-", F.lit(r), "part", "bin").alias("container")))
         if last:
