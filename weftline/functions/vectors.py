@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -25,16 +25,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda an expression would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """Scaled to length 1; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    return let(doubles(v), lambda a: let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Null where either vector has no direction."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n)
+    return let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n))
 
 
 def scaled(v: Column, by: float) -> Column:

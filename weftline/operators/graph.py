@@ -11,17 +11,17 @@ from weftline.runtime import Cut, cut
 def closure(edges: DataFrame) -> DataFrame:
     """(a, b): all pairs with a way of one or more links from a to b, circles included.
 
-    Ways double in length each round, so a chain of n links takes log2(n) rounds; only pairs found last are extended.
+    Ways double in length each round, so a chain of n links takes log2(n) rounds; a round is one join and one count.
     """
-    all_ = Cut(edges.select("a", "b").filter("a is not null and b is not null").distinct())
-    new = all_
+    at = Cut(edges.select("a", "b").filter("a is not null and b is not null").distinct())
+    n = at.df.count()
     while True:
-        l, r = all_.df.select("a", F.col("b").alias("m")), new.df.select(F.col("a").alias("m"), "b")
-        step = l.join(r, "m").select("a", "b").union(new.df.select("a", F.col("b").alias("m")).join(all_.df.select(F.col("a").alias("m"), "b"), "m").select("a", "b")).distinct()
-        new = Cut(step.join(all_.df, ["a", "b"], "left_anti"))
-        if new.df.isEmpty():
-            return all_.df
-        all_ = Cut(all_.df.unionByName(new.df))
+        step = at.df.select("a", F.col("b").alias("m")).join(at.df.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        more = Cut(at.df.union(step).distinct())
+        m = more.df.count()
+        if m == n:
+            return more.df
+        at, n = more, m
 
 
 def descendants(catalogue: DataFrame) -> DataFrame:

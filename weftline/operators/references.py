@@ -22,8 +22,8 @@ def unheld(child: DataFrame, parent: DataFrame, row_key: str, ref: str, at: str,
 
     Keys that no parent has come from a left anti-join of the distinct keys and are joined back. The other rows are
     swept in time together with the starts and ends of their key's intervals; a running count of open intervals tells
-    whether the reference holds. The sweep is partitioned by key and month, with what is open at the month's begin
-    carried in from sums for each key and month, so a key with very many rows is spread over many tasks.
+    whether the reference holds. The sweep is partitioned by key and day, with what is open at the day's begin
+    carried in from sums for each key and day, so a key with very many rows is spread over many tasks.
     """
     c = (
         child.select(
@@ -56,19 +56,19 @@ def unheld(child: DataFrame, parent: DataFrame, row_key: str, ref: str, at: str,
     ends = spans.filter(live & F.col("e").isNotNull()).select("k", F.col("e").alias("t"), none.alias("row_key"), (-one).alias("opened"), nil.alias("begun"))
     asked = marked.filter("gone is null").select("k", "t", "row_key", nil.alias("opened"), nil.alias("begun"))
     turns = starts.unionByName(ends)
-    month = F.trunc(F.col("t").cast("date"), "month").alias("m")
+    day = F.col("t").cast("date").alias("m")
     before = Window.partitionBy("k").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    # Months in which only questions lie need their carry too, hence the questions' (key, month) pairs.
-    monthly = turns.select("k", month, "opened", "begun").unionByName(asked.select("k", month, "opened", "begun").distinct())
+    # Days on which only questions lie need their carry too, hence the questions' (key, day) pairs.
+    daily = turns.select("k", day, "opened", "begun").unionByName(asked.select("k", day, "opened", "begun").distinct())
     carry = (
-        monthly.groupBy("k", "m")
+        daily.groupBy("k", "m")
         .agg(F.sum("opened").alias("o"), F.sum("begun").alias("b"))
         .select("k", "m", F.coalesce(F.sum("o").over(before), nil).alias("o0"), F.coalesce(F.sum("b").over(before), nil).alias("b0"))
     )
     upto = Window.partitionBy("k", "m").orderBy("t", F.col("row_key").isNotNull(), "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = (
         turns.unionByName(asked)
-        .select("*", month)
+        .select("*", day)
         .select("k", "m", "t", "row_key", F.sum("opened").over(upto).alias("o"), F.sum("begun").over(upto).alias("b"))
         .filter("row_key is not null")
         .join(carry, ["k", "m"])
