@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.sampling import by_hash
+from weftline.llm.sparse import unpack
 from weftline.runtime import cut, ship
 
 TRAIN = 65_536  # at most so many vectors of a field, chosen by hash, to fit the centroids on; every vector is indexed
@@ -140,8 +141,11 @@ def _lists(index: Index):
     return run
 
 
-def _place(index: Index, probes: int):
-    """Rows (field, cid, vec) to rows for each list a vector is asked in; in its own list also with code and scalars."""
+def _place(index: Index, probes: int, tagged: int | None = None):
+    """Rows (field, cid, vec) to rows for each list a vector is asked in; in its own list also with code and scalars.
+
+    With ``tagged`` the first so many numbers of the vector go there, and its tags instead of a code.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,6 +193,8 @@ def _place(index: Index, probes: int):
                     dblk, qblk = (np.array([x[j] for x in reps], np.int32) for j in (1, 2))
                     as_data, as_query = (np.array([x[j] for x in reps], bool) for j in (3, 4))
                     at, row = at[pick], row[pick]
+                carried = x if tagged is None else x[:, :tagged]
+                tags = pa.nulls(len(row), pa.binary()) if tagged is None else b.column("tags").take(pa.array(on)).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array((at + f * FIELD).astype(np.int32)),
@@ -196,18 +202,76 @@ def _place(index: Index, probes: int):
                         pa.array(qblk),
                         pa.array(ids[row]),
                         pa.array(as_query),
-                        _binary(x).take(pa.array(row, mask=~as_data)),
-                        _binary(code).take(pa.array(row, mask=~as_data)),
+                        _binary(carried).take(pa.array(row, mask=~as_data)),
+                        _binary(code).take(pa.array(row, mask=~as_data | (tagged is not None))),
                         *(pa.array(s[row].astype(np.float32), mask=~as_data) for s in (length, self_ip, with_c)),
-                        _binary(short(x)).take(pa.array(row, mask=as_data)),
+                        _binary(short(carried)).take(pa.array(row, mask=as_data)),
+                        tags,
                     ],
-                    names=["list", "dblk", "qblk", "cid", "as_query", "vec", "code", "length", "self_ip", "with_c", "short"],
+                    names=["list", "dblk", "qblk", "cid", "as_query", "vec", "code", "length", "self_ip", "with_c", "short", "tags"],
                 )
 
     return run
 
 
-PLACED = "list int, dblk int, qblk int, cid long, as_query boolean, vec binary, code binary, length float, self_ip float, with_c float, short binary"
+PLACED = "list int, dblk int, qblk int, cid long, as_query boolean, vec binary, code binary, length float, self_ip float, with_c float, short binary, tags binary"
+
+
+def _shared(data: pa.ChunkedArray, n: int, queries: list[pa.ChunkedArray], m: int) -> Iterator[tuple[int, list]]:
+    """Of the tags that both m queries and n vectors have, some at a time: how many, and (row, tag, weight) of either side."""
+    dr, dh, dw = unpack(data)
+    parts, base = [], 0
+    for q in queries:
+        r, h, w = unpack(q)
+        parts.append((r + base, h, w))
+        base += len(q)
+    qr, qh, qw = (np.concatenate([p[j] for p in parts]) for j in range(3))
+    words = np.intersect1d(dh, qh)
+    for i in range(0, len(words), 2048):
+        some = words[i : i + 2048]
+        out = []
+        for r, h, w, rows in ((qr, qh, qw, m), (dr, dh, dw, n)):
+            at = np.minimum(np.searchsorted(some, h), len(some) - 1)
+            on = some[at] == h
+            out.append((r[on], at[on], w[on], rows))
+        yield len(some), out
+
+
+def _search_tagged(index: Index, k: int):
+    """One block of one list: rows (field, q, d, sim), the k best of each query by the inner product of vectors and of tags."""
+
+    def run(t: pa.Table) -> pa.Table:
+        f = t.column("list")[0].as_py() // FIELD
+        t = t.combine_chunks()
+        is_data = pc.is_valid(t.column("vec"))
+        held, others = t.filter(is_data), t.filter(pc.invert(is_data))
+        out: list[tuple[np.ndarray, ...]] = []
+        if held.num_rows:
+            x, dcid = _matrix(held.column("vec"), np.float32), held.column("cid").to_numpy()
+            own = np.asarray(held.column("as_query").to_numpy(), bool)
+            qx, qcid, qtags = x[own], dcid[own], [held.column("tags").filter(pa.array(own))]
+            if others.num_rows:
+                qx, qcid = np.concatenate([qx, unshort(_matrix(others.column("short"), np.uint8))]), np.concatenate([qcid, others.column("cid").to_numpy()])
+                qtags.append(others.column("tags"))
+            slices = list(_shared(held.column("tags"), len(x), qtags, len(qx)))
+            step = max(1, 2_000_000 // max(len(x), 2048))
+            for i in range(0, len(qx), step):
+                qc = qcid[i : i + step]
+                sim = qx[i : i + step] @ x.T
+                for words, ((qr, qa, qw, _), (dr, da, dw, n)) in slices:
+                    on = (qr >= i) & (qr < i + step)
+                    a, b = np.zeros((len(qc), words), np.float32), np.zeros((n, words), np.float32)
+                    a[qr[on] - i, qa[on]], b[dr, da] = qw[on], dw
+                    sim += a @ b.T
+                sim[qc[:, None] == dcid[None, :]] = -9
+                top = np.argpartition(-sim, k - 1, axis=1)[:, :k] if len(x) > k else np.arange(len(x))[None, :].repeat(len(qc), 0)
+                best = np.take_along_axis(sim, top, 1)
+                qi, j = np.nonzero(best > -8)
+                out.append((qc[qi], dcid[top[qi, j]], best[qi, j].astype(np.float64)))
+        q, d, s = (np.concatenate([o[j] for o in out]) if out else np.zeros(0, kind) for j, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
+        return pa.table({"field": pa.array(np.full(len(q), f, np.int32)), "q": q, "d": d, "sim": s})
+
+    return run
 
 
 def _search(index: Index, k: int, least: float | None, eps: float):
@@ -266,14 +330,16 @@ def _search(index: Index, k: int, least: float | None, eps: float):
     return run
 
 
-def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int = 8, eps: float = 1.9, both_ways: bool = True, exact: bool = True) -> DataFrame:
+def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int = 8, eps: float = 1.9, both_ways: bool = True, exact: bool = True, tagged: int | None = None) -> DataFrame:
     """(field, q, d, sim): the k most similar other vectors of each vector, best first, ties by the lower id.
 
     ``classes`` holds (field int, cid long, vec binary), unit vectors that differ within a field, as written by
     ``vector_classes``; it is read several times. ``least`` asks only for vectors at least so similar. ``probes`` lists
     are searched for each vector, ``eps`` scales the error bound (1.9: it holds for nearly all pairs). ``both_ways``
     lets a pair found from one side count for the other too; with ``exact`` the similarities of what was found are
-    computed anew from the whole vectors, else a query's vector has eight bits a dimension. The centroids are fitted on a bounded sample; lists that
+    computed anew from the whole vectors, else a query's vector has eight bits a dimension. With ``tagged`` the rows hold
+    ``tags`` too (see ``sparse``), and a vector is so many numbers followed by a sketch of the tags: the sketch only
+    chooses the lists, and every vector in them is compared by its numbers and its tags, without bounds. The centroids are fitted on a bounded sample; lists that
     come out far above the average are divided again, and what is still large is searched in blocks.
     """
     spark = classes.sparkSession
@@ -295,8 +361,9 @@ def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int
             break
         index = _divide(classes, index, hot, sizes)
     index.blocks = {at: (-(-n // BLOCK), -(-n * probes // BLOCK)) for at, n in counts.items() if n > 2 * BLOCK}
-    placed = classes.mapInArrow(_place(index, probes), PLACED)
-    found = placed.groupBy("list", "dblk", "qblk").applyInArrow(_search(index, k, least, eps), "field int, q long, d long, sim double")
+    placed = classes.mapInArrow(_place(index, probes, tagged), PLACED)
+    search = _search(index, k, least, eps) if tagged is None else _search_tagged(index, k)
+    found = placed.groupBy("list", "dblk", "qblk").applyInArrow(search, "field int, q long, d long, sim double")
     if exact:
         pair = (F.least("q", "d").alias("q"), F.greatest("q", "d").alias("d")) if both_ways else ("q", "d")
         found = _checked(cut(found.select("field", *pair).distinct()), classes)
