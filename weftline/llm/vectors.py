@@ -10,6 +10,7 @@ compared exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,7 +142,11 @@ def _lists(index: Index):
     return run
 
 
-def _place(index: Index, probes: int, tagged: int | None = None):
+def _asked(lists: int, probes: int, share: float) -> int:
+    return min(lists, max(probes, math.ceil(share * lists)))
+
+
+def _place(index: Index, probes: int, share: float = 0.0, tagged: int | None = None):
     """Rows (field, cid, vec) to rows for each list a vector is asked in; in its own list also with code and scalars.
 
     With ``tagged`` the first so many numbers of the vector go there, and its tags instead of a code.
@@ -157,7 +162,7 @@ def _place(index: Index, probes: int, tagged: int | None = None):
                 x = _matrix(vec.take(pa.array(on)), np.float32)
                 ids = cid[on]
                 sims = x @ c.T
-                p = min(probes, len(c))
+                p = _asked(len(c), probes, share)
                 near = np.argpartition(-sims, p - 1, axis=1)[:, :p]
                 own = sims.argmax(axis=1)
                 near[:, 0] = np.where((near == own[:, None]).any(axis=1), near[:, 0], own)
@@ -330,12 +335,12 @@ def _search(index: Index, k: int, least: float | None, eps: float):
     return run
 
 
-def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int = 8, eps: float = 1.9, both_ways: bool = True, exact: bool = True, tagged: int | None = None) -> DataFrame:
+def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int = 8, eps: float = 1.9, both_ways: bool = True, exact: bool = True, tagged: int | None = None, share: float = 0.0) -> DataFrame:
     """(field, q, d, sim): the k most similar other vectors of each vector, best first, ties by the lower id.
 
     ``classes`` holds (field int, cid long, vec binary), unit vectors that differ within a field, as written by
     ``vector_classes``; it is read several times. ``least`` asks only for vectors at least so similar. ``probes`` lists
-    are searched for each vector, ``eps`` scales the error bound (1.9: it holds for nearly all pairs). ``both_ways``
+    are searched for each vector, or ``share`` of all lists if that is more, ``eps`` scales the error bound (1.9: it holds for nearly all pairs). ``both_ways``
     lets a pair found from one side count for the other too; with ``exact`` the similarities of what was found are
     computed anew from the whole vectors, else a query's vector has eight bits a dimension. With ``tagged`` the rows hold
     ``tags`` too (see ``sparse``), and a vector is so many numbers followed by a sketch of the tags: the sketch only
@@ -360,8 +365,8 @@ def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int
         if not hot or again == 2:
             break
         index = _divide(classes, index, hot, sizes)
-    index.blocks = {at: (-(-n // BLOCK), -(-n * probes // BLOCK)) for at, n in counts.items() if n > 2 * BLOCK}
-    placed = classes.mapInArrow(_place(index, probes, tagged), PLACED)
+    index.blocks = {at: (-(-n // BLOCK), -(-n * _asked(len(index.centroids[at // FIELD]), probes, share) // BLOCK)) for at, n in counts.items() if n > 2 * BLOCK}
+    placed = classes.mapInArrow(_place(index, probes, share, tagged), PLACED)
     search = _search(index, k, least, eps) if tagged is None else _search_tagged(index, k)
     found = placed.groupBy("list", "dblk", "qblk").applyInArrow(search, "field int, q long, d long, sim double")
     if exact:
