@@ -94,3 +94,21 @@ def test_eight_bits():
     x = np.random.default_rng(6).standard_normal((100, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert np.abs(V.unshort(V.short(x)) @ x.T - x @ x.T).max() < V.MARGIN
+
+
+def test_recall_in_a_hot_dense_group(spark):
+    r = np.random.default_rng(9)
+    centre = r.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    x = np.concatenate([centre + 0.03 * r.standard_normal((3000, 64)), r.standard_normal((6000, 64))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    found: dict[int, set] = {}
+    for g in V.nearest(classes(spark, x), 5, least=0.92).collect():
+        found.setdefault(g.q, set()).add(g.d)
+    want = {}
+    for i in range(0, 3000, 5):
+        s = x @ x[i]
+        s[i] = -2
+        want[i] = {int(j) for j in np.argsort(-s)[:5] if s[j] >= 0.92}
+    recall = sum(len(found.get(i, set()) & w) for i, w in want.items()) / sum(map(len, want.values()))
+    assert recall >= 0.95, recall

@@ -30,6 +30,7 @@ LISTS = 4096  # centroids at most; a list far above the average is divided again
 HOT = 8  # times the average list
 BLOCK = 4096  # vectors, or queries, of one list in one task at once
 FIELD = 1 << 24  # list numbers of one field
+REACH = 0.3  # of the distance that the threshold allows, how far towards another list a neighbour is looked for (see _within)
 MARGIN = 0.006  # above the error that eight bits a dimension of a query can make in a similarity
 SMALL = 1_000_000  # pairs of which the exact check broadcasts the pairs instead of shuffling the vectors
 
@@ -126,8 +127,8 @@ def unshort(b: np.ndarray) -> np.ndarray:
     return b[:, :-4].view(np.int8).astype(np.float32) * np.ascontiguousarray(b[:, -4:]).view(np.float32)
 
 
-def _lists(index: Index):
-    """(list, n): how many vectors of a batch lie in each list, and how many probe it."""
+def _lists(index: Index, probes: int, share: float, least: float | None):
+    """(list, n, asked): how many vectors of a batch lie in each list, and how many are compared with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,18 +136,41 @@ def _lists(index: Index):
             for f, c in index.centroids.items():
                 on = np.flatnonzero(field == f)
                 if len(on):
-                    near = (_matrix(vec.take(pa.array(on)), np.float32) @ c.T).argmax(axis=1)
-                    at, n = np.unique(near, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array((at + f * FIELD).astype(np.int32)), pa.array(n)], names=["list", "n"])
+                    sims = _matrix(vec.take(pa.array(on)), np.float32) @ c.T
+                    own = sims.argmax(axis=1)
+                    n, asked = np.bincount(own, minlength=len(c)), _within(sims, own, c, _asked(len(c), probes, share), least).sum(axis=0)
+                    at = np.flatnonzero(n | asked)
+                    yield pa.RecordBatch.from_arrays([pa.array((at + f * FIELD).astype(np.int32)), pa.array(n[at]), pa.array(asked[at])], names=["list", "n", "asked"])
 
     return run
 
 
+def _within(sims: np.ndarray, own: np.ndarray, c: np.ndarray, p: int, least: float | None) -> np.ndarray:
+    """Which lists (columns) each vector is compared with: the p nearest, and with ``least`` all in reach.
+
+    Two vectors at least so similar are at most r = sqrt(2 - 2 least) apart, so one can only lie on the other side of the
+    border to a list if it is within r of it. Of r a part of REACH is taken: in 64 dimensions 2.4 times what a direction
+    at random comes to, so that nearly all pairs are within. In a dense group that has many lists, many are in reach.
+    """
+    want = np.zeros(sims.shape, bool)
+    np.put_along_axis(want, np.argpartition(-sims, p - 1, axis=1)[:, :p], True, axis=1)
+    rows = np.arange(len(sims))
+    if least is not None:
+        r = np.float32(REACH * math.sqrt(max(0.0, 2 - 2 * least)))
+        square = np.einsum("ij,ij->i", c, c)
+        for i in range(0, len(sims), 4096):
+            s, o = sims[i : i + 4096], own[i : i + 4096]
+            apart = np.sqrt(np.maximum(square[o][:, None] + square[None, :] - 2 * (c[o] @ c.T), 0))
+            want[i : i + 4096] |= s[np.arange(len(o)), o][:, None] - s <= r * apart
+    want[rows, own] = True
+    return want
+
+
 def _asked(lists: int, probes: int, share: float) -> int:
     return min(lists, max(probes, math.ceil(share * lists)))
 
 
-def _place(index: Index, probes: int, share: float = 0.0, tagged: int | None = None):
+def _place(index: Index, probes: int, share: float = 0.0, tagged: int | None = None, least: float | None = None):
     """Rows (field, cid, vec) to rows for each list a vector is asked in; in its own list also with code and scalars.
 
     With ``tagged`` the first so many numbers of the vector go there, and its tags instead of a code.
@@ -162,20 +186,15 @@ def _place(index: Index, probes: int, share: float = 0.0, tagged: int | None = N
                 x = _matrix(vec.take(pa.array(on)), np.float32)
                 ids = cid[on]
                 sims = x @ c.T
-                p = _asked(len(c), probes, share)
-                near = np.argpartition(-sims, p - 1, axis=1)[:, :p]
                 own = sims.argmax(axis=1)
-                near[:, 0] = np.where((near == own[:, None]).any(axis=1), near[:, 0], own)
-                home = near == own[:, None]
+                row, at = np.nonzero(_within(sims, own, c, _asked(len(c), probes, share), least))
+                is_home = at == own[row]
                 r = x - c[own]
                 length = np.linalg.norm(r, axis=1)
                 y = (r / np.maximum(length, 1e-12)[:, None]) @ index.turn.T
                 code = np.packbits(y > 0, axis=1)
                 self_ip = np.abs(y).sum(axis=1) / np.sqrt(y.shape[1])
                 with_c = np.einsum("ij,ij->i", r, c[own])
-                row, col = np.divmod(np.arange(near.size), p)
-                at = near.ravel()
-                is_home = home.ravel()
                 # A list in several blocks: its vectors go to one block of vectors and all of queries, and conversely.
                 many = [index.blocks.get(int(a) + f * FIELD) for a in at] if index.blocks else None
                 dblk, qblk, reps = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32), None
@@ -340,7 +359,8 @@ def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int
 
     ``classes`` holds (field int, cid long, vec binary), unit vectors that differ within a field, as written by
     ``vector_classes``; it is read several times. ``least`` asks only for vectors at least so similar. ``probes`` lists
-    are searched for each vector, or ``share`` of all lists if that is more, ``eps`` scales the error bound (1.9: it holds for nearly all pairs). ``both_ways``
+    are searched for each vector, or ``share`` of all lists if that is more, and with ``least`` all lists in which there
+    may be such vectors (see ``_within``); ``eps`` scales the error bound (1.9: it holds for nearly all pairs). ``both_ways``
     lets a pair found from one side count for the other too; with ``exact`` the similarities of what was found are
     computed anew from the whole vectors, else a query's vector has eight bits a dimension. With ``tagged`` the rows hold
     ``tags`` too (see ``sparse``), and a vector is so many numbers followed by a sketch of the tags: the sketch only
@@ -359,14 +379,16 @@ def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int
         index.centroids[f] = kmeans(x, lists)
         index.turn = rotation(x.shape[1])
     counts: dict[int, int] = {}
+    asked: dict[int, int] = {}
     for again in range(3):
-        counts = {r.list: r.n for r in classes.mapInArrow(_lists(index), "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()}
+        seen = classes.mapInArrow(_lists(index, probes, share, least), "list int, n long, asked long").groupBy("list").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect()
+        counts, asked = {r.list: r.n for r in seen}, {r.list: r.asked for r in seen}
         hot = {at: n for at, n in counts.items() if n > max(BLOCK, HOT * sizes[at // FIELD] / len(index.centroids[at // FIELD]))}
         if not hot or again == 2:
             break
         index = _divide(classes, index, hot, sizes)
-    index.blocks = {at: (-(-n // BLOCK), -(-n * _asked(len(index.centroids[at // FIELD]), probes, share) // BLOCK)) for at, n in counts.items() if n > 2 * BLOCK}
-    placed = classes.mapInArrow(_place(index, probes, share, tagged), PLACED)
+    index.blocks = {at: (-(-n // BLOCK), -(-asked[at] // BLOCK)) for at, n in counts.items() if n > 2 * BLOCK}
+    placed = classes.mapInArrow(_place(index, probes, share, tagged, least), PLACED)
     search = _search(index, k, least, eps) if tagged is None else _search_tagged(index, k)
     found = placed.groupBy("list", "dblk", "qblk").applyInArrow(search, "field int, q long, d long, sim double")
     if exact:
