@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from weftline.functions.vectors import augmented, cosine, fused, mean_vectors, same_size, unit
@@ -147,3 +149,20 @@ def test_encoding_queue_and_fusion(spark):
     tv = spark.createDataFrame([("x", [1.0, 0.0, 0.0]), ("y", [0.0, 2.0, 0.0])], "slug string, vec array<double>")
     f = {r.card_id: r.vec for r in embedding.fuse(text, tags, tv, 0.0).collect()}
     assert f["a"] == pytest.approx(list(np.array([0.5, 1, 0]) / np.sqrt(1.25))) and f["d"] == [0, 0, 1]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_training_searches_whole_decks_with_their_words(spark, monkeypatch):
+    from weftline.plans import catalogue
+
+    seen, real = {}, density.trained
+
+    def caught(cards, drawn, **k):
+        seen.update(drawn=drawn, decks={r.deck_id for r in cards.select("deck_id").distinct().collect()}, widths=cards.select("deck_id", density.FEATURES["keywords"](k.get("vocab") or {}).alias("f")).collect())
+        return real(cards, drawn[:1], **k)
+
+    monkeypatch.setattr(density, "trained", caught)
+    got = catalogue.train_weights(spark, "/root/testdata/sf0.001").collect()
+    words = {r.deck_id: len([w for w in r.keywords.split(",") if w]) for r in catalogue.deck_vocab(spark, "/root/testdata/sf0.001").collect()}
+    assert len(seen["drawn"]) == 50 and seen["decks"] == words.keys() and got
+    assert all(len(r.f) == words[r.deck_id] for r in seen["widths"])

@@ -316,17 +316,22 @@ def theme_profile(spark: SparkSession, d: str) -> DataFrame:
     return themes.profile(decks(spark, d), card_tags, t, m, text_vectors(cards), card_vectors(cards), MERGE)
 
 
-def deck_vocab(spark: SparkSession, d: str) -> DataFrame:
-    """Deck-local vocabularies: as many words as there are keywords and subtypes."""
-    c = latest_cards(spark, d, "keywords", "type_line").withColumnRenamed("_id", "card_id")
-    in_deck = decks(spark, d).join(c, "card_id")
+def _vocabularies(in_deck: DataFrame) -> DataFrame:
+    """(deck_id, keywords, subtypes): the words of each deck's cards (deck_id, keywords, type_line), sorted."""
 
     def words(col) -> DataFrame:
-        return in_deck.select("deck_id", F.explode(col).alias("w")).distinct().groupBy("deck_id").agg(F.array_join(F.array_sort(F.collect_list("w")), ",").alias("v"))
+        return in_deck.select("deck_id", F.explode(col).alias("w")).distinct().groupBy("deck_id").agg(F.array_sort(F.collect_list("w")).alias("v"))
 
     k = words(F.transform("keywords", F.lower)).withColumnRenamed("v", "keywords")
     s = words(fx.type_words(F.col("type_line"))[2]).withColumnRenamed("v", "subtypes")
-    return in_deck.select("deck_id").distinct().join(k, "deck_id", "left").join(s, "deck_id", "left").select("deck_id", F.coalesce("keywords", F.lit("")).alias("keywords"), F.coalesce("subtypes", F.lit("")).alias("subtypes"))
+    none = F.array().cast("array<string>")
+    return in_deck.select("deck_id").distinct().join(k, "deck_id", "left").join(s, "deck_id", "left").select("deck_id", F.coalesce("keywords", none).alias("keywords"), F.coalesce("subtypes", none).alias("subtypes"))
+
+
+def deck_vocab(spark: SparkSession, d: str) -> DataFrame:
+    """Deck-local vocabularies: as many words as there are keywords and subtypes."""
+    c = latest_cards(spark, d, "keywords", "type_line").withColumnRenamed("_id", "card_id")
+    return _vocabularies(decks(spark, d).join(c, "card_id")).select("deck_id", F.array_join("keywords", ",").alias("keywords"), F.array_join("subtypes", ",").alias("subtypes"))
 
 
 def label_vote(spark: SparkSession, d: str) -> DataFrame:
@@ -375,11 +380,20 @@ def cluster_profile(spark: SparkSession, d: str) -> DataFrame:
     return size.join(votes.withColumnRenamed("cluster", "cluster_id"), "cluster_id", "left").select("deck_id", "cluster", label.alias("label"), "n_cards")
 
 
+def _deck_cards(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """All cards of each commander, each once, with its best lift and its vector, null if that is not usable."""
+    s = signals(spark, d, "lift").groupBy(F.col("commander").alias("deck_id"), "card_id").agg(F.max("lift").alias("lift"))
+    vec = F.when(usable(F.col("card_vector"), 64), F.col("card_vector")).alias("vec")
+    return s.join(latest_cards(spark, d, "card_vector", *columns).select(F.col("_id").alias("card_id"), vec, *columns), "card_id")
+
+
 def train_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Each deck's best of 50 trials, over whole decks with their own keywords and subtypes."""
     knobs = ["types", "mana_cost", "keywords", "colors", "color_identity", "power", "toughness"]
-    drawn = density.trials(knobs, 5, seed=7)
-    cards = _yearly_decks(spark, d, "type_line", "mana_cost", "keywords", "colors", "color_identity", "power", "toughness")
-    return density.best_trials(density.trained(cards, drawn))
+    drawn = density.trials(knobs, 50, seed=7)
+    cards = cut(_deck_cards(spark, d, "type_line", "mana_cost", "keywords", "colors", "color_identity", "power", "toughness"))
+    words = _vocabularies(cards).select("deck_id", F.col("keywords").alias("vocab_keywords"), F.col("subtypes").alias("vocab_subtypes"))
+    return density.best_trials(density.trained(cards.join(words, "deck_id"), drawn, vocab={"keywords": F.col("vocab_keywords"), "subtypes": F.col("vocab_subtypes")}))
 
 
 def text_encode(spark: SparkSession, d: str) -> DataFrame:
