@@ -166,3 +166,16 @@ def test_training_searches_whole_decks_with_their_words(spark, monkeypatch):
     words = {r.deck_id: len([w for w in r.keywords.split(",") if w]) for r in catalogue.deck_vocab(spark, "/root/testdata/sf0.001").collect()}
     assert len(seen["drawn"]) == 50 and seen["decks"] == words.keys() and got
     assert all(len(r.f) == words[r.deck_id] for r in seen["widths"])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_cluster_profile_counts_every_card_of_a_deck(spark):
+    from weftline.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    want = {r.deck_id: r["count"] for r in catalogue.decks(spark, d).groupBy("deck_id").count().collect()}
+    got: dict[str, int] = {}
+    for r in catalogue.cluster_profile(spark, d).collect():
+        assert (r.cluster < 0) == (r.label == "unassigned")
+        got[r.deck_id] = got.get(r.deck_id, 0) + r.n_cards
+    assert got == want

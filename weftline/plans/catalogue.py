@@ -362,15 +362,18 @@ def augmented_cosine(spark: SparkSession, d: str) -> DataFrame:
     return p.join(side("card_a"), "card_a").join(side("card_b"), "card_b").select("card_a", "card_b", F.round(cosine(F.col("vcard_a"), F.col("vcard_b")), 5).alias("sim"))
 
 
-def _yearly_decks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Cards of a commander in a year with their usable vectors: decks of a size that density clusters are meant for."""
-    s = signals(spark, d, "fetched_at", "lift").groupBy(F.concat_ws("@", "commander", F.date_format("fetched_at", "yyyy")).alias("deck_id"), "card_id").agg(F.max("lift").alias("lift"))
-    c = latest_cards(spark, d, "card_vector", *columns).filter(usable(F.col("card_vector"), 64)).select(F.col("_id").alias("card_id"), F.col("card_vector").alias("vec"), *columns)
-    return s.join(c, "card_id")
+def _deck_cards(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """All cards of each commander, each once, with its best lift and its vector, null if that is not usable."""
+    s = signals(spark, d, "lift").groupBy(F.col("commander").alias("deck_id"), "card_id").agg(F.max("lift").alias("lift"))
+    vec = F.when(usable(F.col("card_vector"), 64), F.col("card_vector")).alias("vec")
+    return s.join(latest_cards(spark, d, "card_vector", *columns).select(F.col("_id").alias("card_id"), vec, *columns), "card_id")
 
 
 def cluster_profile(spark: SparkSession, d: str) -> DataFrame:
-    labelled = cut(density.clusters(_yearly_decks(spark, d)))
+    """Clusters of whole decks; noise and cards without a usable vector are unassigned."""
+    cards = cut(_deck_cards(spark, d))
+    bare = cards.filter("vec is null").select("deck_id", "card_id", F.lit(-1).alias("cluster"))
+    labelled = cut(density.clusters(cards).unionByName(bare))
     named = labelled.withColumn("cluster_id", F.concat_ws("#", "deck_id", F.col("cluster").cast("string")))
     members = named.filter("cluster >= 0").select(F.col("cluster_id").alias("cluster"), "card_id")
     _, card_tags = _base(spark, d)
@@ -380,13 +383,6 @@ def cluster_profile(spark: SparkSession, d: str) -> DataFrame:
     return size.join(votes.withColumnRenamed("cluster", "cluster_id"), "cluster_id", "left").select("deck_id", "cluster", label.alias("label"), "n_cards")
 
 
-def _deck_cards(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """All cards of each commander, each once, with its best lift and its vector, null if that is not usable."""
-    s = signals(spark, d, "lift").groupBy(F.col("commander").alias("deck_id"), "card_id").agg(F.max("lift").alias("lift"))
-    vec = F.when(usable(F.col("card_vector"), 64), F.col("card_vector")).alias("vec")
-    return s.join(latest_cards(spark, d, "card_vector", *columns).select(F.col("_id").alias("card_id"), vec, *columns), "card_id")
-
-
 def train_weights(spark: SparkSession, d: str) -> DataFrame:
     """Each deck's best of 50 trials, over whole decks with their own keywords and subtypes."""
     knobs = ["types", "mana_cost", "keywords", "colors", "color_identity", "power", "toughness"]
