@@ -49,7 +49,7 @@ def tag_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_vectors(cards: DataFrame) -> DataFrame:
-    """(card_id, vec): the first 16 numbers of a usable text vector, the size of the tags' vectors."""
+    """(card_id, vec): the first 16 of a text vector's 64 numbers, the size of the tags' vectors; the other 48 are not looked at."""
     v = F.slice(F.col("text_embedding"), 1, 16)
     return cards.filter((F.size("text_embedding") == 64) & usable(v, 16)).select(F.col("_id").alias("card_id"), v.cast("array<double>").alias("vec"))
 
@@ -350,6 +350,7 @@ def eta_squared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuse_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Text and tag vectors combined; of a text vector only the first 16 numbers count (see ``text_vectors``)."""
     cards, card_tags = _base(spark, d, "text_embedding")
     return embedding.fuse(text_vectors(cards), card_tags, tag_vectors(spark, d), ALPHA).select("card_id", F.posexplode("vec").alias("i", "x")).select("card_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") + 0.0, 5).alias("x"))
 
