@@ -50,16 +50,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrences(cards, "tags", n, 5).filter(F.col("n_both") * F.lit(n) >= 3 * F.col("n_a") * F.col("n_b")).select("slug_a", "slug_b")
 
 
-def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(_cards(spark, sf_dir, "card_vector", "tags"), "_id", "card_vector", "tags")
+def _groups(spark: SparkSession, sf_dir: str, sims: bool) -> DataFrame:
+    return groups(_cards(spark, sf_dir, "card_vector", "tags"), "_id", "card_vector", "tags", sims=sims)
 
 
 def p7_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _groups(spark, sf_dir).select(F.col("id").alias("card_id"), F.col("group").alias("group_id"))
+    return _groups(spark, sf_dir, False).select(F.col("id").alias("card_id"), F.col("group").alias("group_id"))
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(cut(_groups(spark, sf_dir))).withColumnRenamed("group", "group_id")
+    return described(cut(_groups(spark, sf_dir, True))).withColumnRenamed("group", "group_id")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,17 +21,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.sampling import by_hash
-from weftline.llm.sparse import unpack
 from weftline.runtime import cut, ship
 
-TRAIN = 65_536  # at most so many vectors of a field, chosen by hash, to fit the centroids on; every vector is indexed
-TRAIN_A_LIST = 32
-LISTS = 4096  # centroids at most; a list far above the average is divided again
-HOT = 8  # times the average list
+TRAIN = 1 << 20  # at most so many vectors of a field, chosen by hash, to fit the centroids on; every vector is indexed
+TRAIN_A_LIST = 32  # vectors of that sample for each list, as long as TRAIN allows
+WHOLE = 512  # lists up to which centroids are fitted at once; more are fitted group by group
+HOT = 8  # times the average list; a list above that is divided again
 BLOCK = 4096  # vectors, or queries, of one list in one task at once
 FIELD = 1 << 24  # list numbers of one field
 REACH = 0.3  # of the distance that the threshold allows, how far towards another list a neighbour is looked for (see _within)
 MARGIN = 0.006  # above the error that eight bits a dimension of a query can make in a similarity
+MANY = 65_536  # copies of one vector above which its class is a hot key
+A_BROADCAST = 10_000  # such classes
 SMALL = 1_000_000  # pairs of which the exact check broadcasts the pairs instead of shuffling the vectors
 
 
@@ -90,12 +91,24 @@ def unit_vectors(rows: DataFrame, key: str, fields: list[str], dim: int = 64) ->
     return rows.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("string").alias("id"), *cols).mapInArrow(_units(fields, dim), "field int, id string, vec binary")
 
 
+def in_chunks(x: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, rows) of a matrix, so that a product of ``width`` columns with them stays at some 16 MB."""
+    step = max(1, 4_000_000 // max(width, 1))
+    for i in range(0, len(x), step):
+        yield i, x[i : i + step]
+
+
+def _own(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row."""
+    return np.concatenate([(part @ c.T).argmax(axis=1) for _, part in in_chunks(x, len(c))]) if len(x) else np.zeros(0, np.int64)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
     """Spherical k-means; empty centroids are dropped."""
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
+        near = _own(x, c)
         s = np.zeros_like(c)
         np.add.at(s, near, x)
         norm = np.linalg.norm(s, axis=1, keepdims=True)
@@ -103,6 +116,22 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
     return np.unique(c.astype(np.float32), axis=0)
 
 
+def centroids(vectors: DataFrame, n: int, lists: int) -> np.ndarray:
+    """About so many centroids of n distinct vectors (vec binary), fitted on a bounded sample by hash.
+
+    More than WHOLE are fitted in two levels: the sample is divided into about sqrt(lists) groups, and each group into its
+    share of the lists, so the work on the driver follows sample * sqrt(lists).
+    """
+    some = by_hash(vectors.select("vec"), "vec", n, min(TRAIN, TRAIN_A_LIST * lists)).toArrow()
+    x = _matrix(some.column("vec"), np.float32)
+    if lists <= WHOLE:
+        return kmeans(x, lists)
+    coarse = kmeans(x[: 32 * WHOLE], round(lists**0.5))
+    own = _own(x, coarse)
+    parts = [x[own == g] for g in range(len(coarse))]
+    return np.concatenate([kmeans(p, max(1, round(lists * len(p) / len(x)))) for p in parts if len(p)])
+
+
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return (q * np.sign(np.diag(r))).astype(np.float32)
@@ -110,11 +139,11 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What the tasks need: centroids of each field, the rotation, and the lists that lie in several blocks."""
+    """What the tasks need: of each field the centroids and in how many blocks of vectors and queries its lists lie; the rotation."""
 
     centroids: dict[int, np.ndarray]
     turn: np.ndarray
-    blocks: dict[int, tuple[int, int]]  # list: (blocks of vectors, blocks of queries)
+    blocks: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def short(x: np.ndarray) -> np.ndarray:
@@ -127,7 +156,7 @@ def unshort(b: np.ndarray) -> np.ndarray:
     return b[:, :-4].view(np.int8).astype(np.float32) * np.ascontiguousarray(b[:, -4:]).view(np.float32)
 
 
-def _lists(index: Index, probes: int, share: float, least: float | None):
+def _lists(index: Index, probes: int, least: float | None):
     """(list, n, asked): how many vectors of a batch lie in each list, and how many are compared with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +164,14 @@ def _lists(index: Index, probes: int, share: float, least: float | None):
             field, vec = b.column("field").to_numpy(), b.column("vec")
             for f, c in index.centroids.items():
                 on = np.flatnonzero(field == f)
-                if len(on):
-                    sims = _matrix(vec.take(pa.array(on)), np.float32) @ c.T
+                n, asked = (np.zeros(len(c), np.int64) for _ in range(2))
+                for _, x in in_chunks(_matrix(vec.take(pa.array(on)), np.float32) if len(on) else np.zeros((0, 1)), len(c)):
+                    sims = x @ c.T
                     own = sims.argmax(axis=1)
-                    n, asked = np.bincount(own, minlength=len(c)), _within(sims, own, c, _asked(len(c), probes, share), least).sum(axis=0)
-                    at = np.flatnonzero(n | asked)
-                    yield pa.RecordBatch.from_arrays([pa.array((at + f * FIELD).astype(np.int32)), pa.array(n[at]), pa.array(asked[at])], names=["list", "n", "asked"])
+                    n += np.bincount(own, minlength=len(c))
+                    asked += _within(sims, own, c, min(len(c), probes), least).sum(axis=0)
+                at = np.flatnonzero(n | asked)
+                yield pa.RecordBatch.from_arrays([pa.array((at + f * FIELD).astype(np.int32)), pa.array(n[at]), pa.array(asked[at])], names=["list", "n", "asked"])
 
     return run
 
@@ -166,136 +197,67 @@ def _within(sims: np.ndarray, own: np.ndarray, c: np.ndarray, p: int, least: flo
     return want
 
 
-def _asked(lists: int, probes: int, share: float) -> int:
-    return min(lists, max(probes, math.ceil(share * lists)))
+def copies(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of rows repeated so many times each."""
+    row = np.repeat(np.arange(len(times)), times)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
 
 
-def _place(index: Index, probes: int, share: float = 0.0, tagged: int | None = None, least: float | None = None):
-    """Rows (field, cid, vec) to rows for each list a vector is asked in; in its own list also with code and scalars.
+def cells(ids: np.ndarray, own: np.ndarray, who: np.ndarray, to: np.ndarray, data: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(list, block of vectors, block of queries, row, as query, as data) of vectors ``ids`` that lie in the lists ``own``.
 
-    With ``tagged`` the first so many numbers of the vector go there, and its tags instead of a code.
+    ``who`` are compared with the lists ``to``. A list lies in ``data`` times ``asked`` cells: a vector goes to its block of
+    vectors and all of queries, a query to its block of queries and all of vectors; where it is both it goes once.
     """
+    row, q = copies(asked[own])
+    held = (own[row], ids[row] % data[own[row]], q, row, q == ids[row] // 7 % asked[own[row]], np.ones(len(row), bool))
+    rep, d = copies(data[to])
+    to, who = to[rep], who[rep]
+    new = (to != own[who]) | (d != ids[who] % data[to])
+    to, who, d = to[new], who[new], d[new]
+    asks = (to, d, ids[who] // 7 % asked[to], who, np.ones(len(to), bool), np.zeros(len(to), bool))
+    return tuple(np.concatenate(z) for z in zip(held, asks))
+
+
+def _place(index: Index, probes: int, least: float | None):
+    """Rows (field, cid, vec) to rows for each list a vector is asked in; in its own list also with code and scalars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             field, cid, vec = b.column("field").to_numpy(), b.column("cid").to_numpy(), b.column("vec")
             for f, c in index.centroids.items():
                 on = np.flatnonzero(field == f)
-                if not len(on):
-                    continue
-                x = _matrix(vec.take(pa.array(on)), np.float32)
-                ids = cid[on]
-                sims = x @ c.T
-                own = sims.argmax(axis=1)
-                row, at = np.nonzero(_within(sims, own, c, _asked(len(c), probes, share), least))
-                is_home = at == own[row]
-                r = x - c[own]
-                length = np.linalg.norm(r, axis=1)
-                y = (r / np.maximum(length, 1e-12)[:, None]) @ index.turn.T
-                code = np.packbits(y > 0, axis=1)
-                self_ip = np.abs(y).sum(axis=1) / np.sqrt(y.shape[1])
-                with_c = np.einsum("ij,ij->i", r, c[own])
-                # A list in several blocks: its vectors go to one block of vectors and all of queries, and conversely.
-                many = [index.blocks.get(int(a) + f * FIELD) for a in at] if index.blocks else None
-                dblk, qblk, reps = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32), None
-                as_data, as_query = is_home.copy(), np.ones(len(at), bool)
-                if many and any(many):
-                    reps = []
-                    for i, m in enumerate(many):
-                        if m is None:
-                            reps.append((i, 0, 0, is_home[i], True))
-                            continue
-                        nd, nq = m
-                        key = int(ids[row[i]])
-                        mine_d, mine_q = key % nd, (key // 7) % nq
-                        cells = {(d, mine_q): [False, True] for d in range(nd)}
-                        if is_home[i]:
-                            for q in range(nq):
-                                cells.setdefault((mine_d, q), [False, False])[0] = True
-                        reps.extend((i, d, q, a, k) for (d, q), (a, k) in cells.items())
-                    pick = np.array([x[0] for x in reps])
-                    dblk, qblk = (np.array([x[j] for x in reps], np.int32) for j in (1, 2))
-                    as_data, as_query = (np.array([x[j] for x in reps], bool) for j in (3, 4))
-                    at, row = at[pick], row[pick]
-                carried = x if tagged is None else x[:, :tagged]
-                tags = pa.nulls(len(row), pa.binary()) if tagged is None else b.column("tags").take(pa.array(on)).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((at + f * FIELD).astype(np.int32)),
-                        pa.array(dblk),
-                        pa.array(qblk),
-                        pa.array(ids[row]),
-                        pa.array(as_query),
-                        _binary(carried).take(pa.array(row, mask=~as_data)),
-                        _binary(code).take(pa.array(row, mask=~as_data | (tagged is not None))),
-                        *(pa.array(s[row].astype(np.float32), mask=~as_data) for s in (length, self_ip, with_c)),
-                        _binary(short(carried)).take(pa.array(row, mask=as_data)),
-                        tags,
-                    ],
-                    names=["list", "dblk", "qblk", "cid", "as_query", "vec", "code", "length", "self_ip", "with_c", "short", "tags"],
-                )
+                for i, x in in_chunks(_matrix(vec.take(pa.array(on)), np.float32) if len(on) else np.zeros((0, 1)), len(c)):
+                    sims = x @ c.T
+                    own = sims.argmax(axis=1)
+                    who, to = np.nonzero(_within(sims, own, c, min(len(c), probes), least))
+                    r = x - c[own]
+                    length = np.linalg.norm(r, axis=1)
+                    y = (r / np.maximum(length, 1e-12)[:, None]) @ index.turn.T
+                    code = np.packbits(y > 0, axis=1)
+                    self_ip = np.abs(y).sum(axis=1) / np.sqrt(y.shape[1])
+                    with_c = np.einsum("ij,ij->i", r, c[own])
+                    ids = cid[on[i : i + len(x)]]
+                    lst, dblk, qblk, row, as_query, as_data = cells(ids, own, who, to, *index.blocks[f])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array((lst + f * FIELD).astype(np.int32)),
+                            pa.array(dblk.astype(np.int32)),
+                            pa.array(qblk.astype(np.int32)),
+                            pa.array(ids[row]),
+                            pa.array(as_query),
+                            _binary(x).take(pa.array(row, mask=~as_data)),
+                            _binary(code).take(pa.array(row, mask=~as_data)),
+                            *(pa.array(z[row].astype(np.float32), mask=~as_data) for z in (length, self_ip, with_c)),
+                            _binary(short(x)).take(pa.array(row, mask=as_data)),
+                        ],
+                        names=["list", "dblk", "qblk", "cid", "as_query", "vec", "code", "length", "self_ip", "with_c", "short"],
+                    )
 
     return run
 
 
-PLACED = "list int, dblk int, qblk int, cid long, as_query boolean, vec binary, code binary, length float, self_ip float, with_c float, short binary, tags binary"
-
-
-def _shared(data: pa.ChunkedArray, n: int, queries: list[pa.ChunkedArray], m: int) -> Iterator[tuple[int, list]]:
-    """Of the tags that both m queries and n vectors have, some at a time: how many, and (row, tag, weight) of either side."""
-    dr, dh, dw = unpack(data)
-    parts, base = [], 0
-    for q in queries:
-        r, h, w = unpack(q)
-        parts.append((r + base, h, w))
-        base += len(q)
-    qr, qh, qw = (np.concatenate([p[j] for p in parts]) for j in range(3))
-    words = np.intersect1d(dh, qh)
-    for i in range(0, len(words), 2048):
-        some = words[i : i + 2048]
-        out = []
-        for r, h, w, rows in ((qr, qh, qw, m), (dr, dh, dw, n)):
-            at = np.minimum(np.searchsorted(some, h), len(some) - 1)
-            on = some[at] == h
-            out.append((r[on], at[on], w[on], rows))
-        yield len(some), out
-
-
-def _search_tagged(index: Index, k: int):
-    """One block of one list: rows (field, q, d, sim), the k best of each query by the inner product of vectors and of tags."""
-
-    def run(t: pa.Table) -> pa.Table:
-        f = t.column("list")[0].as_py() // FIELD
-        t = t.combine_chunks()
-        is_data = pc.is_valid(t.column("vec"))
-        held, others = t.filter(is_data), t.filter(pc.invert(is_data))
-        out: list[tuple[np.ndarray, ...]] = []
-        if held.num_rows:
-            x, dcid = _matrix(held.column("vec"), np.float32), held.column("cid").to_numpy()
-            own = np.asarray(held.column("as_query").to_numpy(), bool)
-            qx, qcid, qtags = x[own], dcid[own], [held.column("tags").filter(pa.array(own))]
-            if others.num_rows:
-                qx, qcid = np.concatenate([qx, unshort(_matrix(others.column("short"), np.uint8))]), np.concatenate([qcid, others.column("cid").to_numpy()])
-                qtags.append(others.column("tags"))
-            slices = list(_shared(held.column("tags"), len(x), qtags, len(qx)))
-            step = max(1, 2_000_000 // max(len(x), 2048))
-            for i in range(0, len(qx), step):
-                qc = qcid[i : i + step]
-                sim = qx[i : i + step] @ x.T
-                for words, ((qr, qa, qw, _), (dr, da, dw, n)) in slices:
-                    on = (qr >= i) & (qr < i + step)
-                    a, b = np.zeros((len(qc), words), np.float32), np.zeros((n, words), np.float32)
-                    a[qr[on] - i, qa[on]], b[dr, da] = qw[on], dw
-                    sim += a @ b.T
-                sim[qc[:, None] == dcid[None, :]] = -9
-                top = np.argpartition(-sim, k - 1, axis=1)[:, :k] if len(x) > k else np.arange(len(x))[None, :].repeat(len(qc), 0)
-                best = np.take_along_axis(sim, top, 1)
-                qi, j = np.nonzero(best > -8)
-                out.append((qc[qi], dcid[top[qi, j]], best[qi, j].astype(np.float64)))
-        q, d, s = (np.concatenate([o[j] for o in out]) if out else np.zeros(0, kind) for j, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
-        return pa.table({"field": pa.array(np.full(len(q), f, np.int32)), "q": q, "d": d, "sim": s})
-
-    return run
+PLACED = "list int, dblk int, qblk int, cid long, as_query boolean, vec binary, code binary, length float, self_ip float, with_c float, short binary"
 
 
 def _search(index: Index, k: int, least: float | None, eps: float):
@@ -354,50 +316,42 @@ def _search(index: Index, k: int, least: float | None, eps: float):
     return run
 
 
-def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int = 8, eps: float = 1.9, both_ways: bool = True, exact: bool = True, tagged: int | None = None, share: float = 0.0) -> DataFrame:
+def nearest(classes: DataFrame, k: int, least: float | None = None, probes: int = 8, eps: float = 1.9) -> DataFrame:
     """(field, q, d, sim): the k most similar other vectors of each vector, best first, ties by the lower id.
 
     ``classes`` holds (field int, cid long, vec binary), unit vectors that differ within a field, as written by
     ``vector_classes``; it is read several times. ``least`` asks only for vectors at least so similar. ``probes`` lists
-    are searched for each vector, or ``share`` of all lists if that is more, and with ``least`` all lists in which there
-    may be such vectors (see ``_within``); ``eps`` scales the error bound (1.9: it holds for nearly all pairs). ``both_ways``
-    lets a pair found from one side count for the other too; with ``exact`` the similarities of what was found are
-    computed anew from the whole vectors, else a query's vector has eight bits a dimension. With ``tagged`` the rows hold
-    ``tags`` too (see ``sparse``), and a vector is so many numbers followed by a sketch of the tags: the sketch only
-    chooses the lists, and every vector in them is compared by its numbers and its tags, without bounds. The centroids are fitted on a bounded sample; lists that
-    come out far above the average are divided again, and what is still large is searched in blocks.
+    are searched for each vector, and with ``least`` all lists in which there may be such vectors (see ``_within``);
+    ``eps`` scales the error bound (1.9: it holds for nearly all pairs). A pair found from one side counts for the other
+    too; the similarities of what was found are computed anew from the whole vectors. There are about sqrt(n) lists,
+    fitted on a bounded sample (see ``centroids``); lists that come out far above the average are divided again as long as
+    that helps, and what is still large is searched in blocks.
     """
     spark = classes.sparkSession
     ship(spark)
     sizes = {r.field: r["count"] for r in classes.groupBy("field").count().collect()}
     index = Index({}, rotation(1), {})
     for f, n in sorted(sizes.items()):
-        lists = min(LISTS, max(1, round(n**0.5)))
-        most = min(TRAIN, TRAIN_A_LIST * lists)
-        rows = by_hash(classes.filter(F.col("field") == f).select("vec"), "vec", n, most).collect()
-        x = np.stack([np.frombuffer(r.vec, np.float32) for r in rows])
-        index.centroids[f] = kmeans(x, lists)
-        index.turn = rotation(x.shape[1])
-    counts: dict[int, int] = {}
-    asked: dict[int, int] = {}
-    for again in range(3):
-        seen = classes.mapInArrow(_lists(index, probes, share, least), "list int, n long, asked long").groupBy("list").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect()
-        counts, asked = {r.list: r.n for r in seen}, {r.list: r.asked for r in seen}
-        hot = {at: n for at, n in counts.items() if n > max(BLOCK, HOT * sizes[at // FIELD] / len(index.centroids[at // FIELD]))}
-        if not hot or again == 2:
+        index.centroids[f] = centroids(classes.filter(F.col("field") == f), n, max(1, round(n**0.5)))
+        index.turn = rotation(index.centroids[f].shape[1])
+    before = math.inf
+    while True:
+        seen = classes.mapInArrow(_lists(index, probes, least), "list int, n long, asked long").groupBy("list").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).collect()
+        hot = {r.list: r.n for r in seen if r.n > max(BLOCK, HOT * sizes[r.list // FIELD] / len(index.centroids[r.list // FIELD]))}
+        mass = sum(hot.values())
+        if mass > 0.9 * before or not hot:
             break
-        index = _divide(classes, index, hot, sizes)
-    index.blocks = {at: (-(-n // BLOCK), -(-asked[at] // BLOCK)) for at, n in counts.items() if n > 2 * BLOCK}
-    placed = classes.mapInArrow(_place(index, probes, share, tagged, least), PLACED)
-    search = _search(index, k, least, eps) if tagged is None else _search_tagged(index, k)
-    found = placed.groupBy("list", "dblk", "qblk").applyInArrow(search, "field int, q long, d long, sim double")
-    if exact:
-        pair = (F.least("q", "d").alias("q"), F.greatest("q", "d").alias("d")) if both_ways else ("q", "d")
-        found = _checked(cut(found.select("field", *pair).distinct()), classes)
-        found = found if least is None else found.filter(F.col("sim") >= least)
-    if both_ways:
-        found = cut(found)
-        found = found.unionByName(found.select("field", F.col("d").alias("q"), F.col("q").alias("d"), "sim")).distinct()
+        before, index = mass, _divide(classes, index, hot, sizes)
+    index.blocks = {f: (np.ones(len(c), np.int64), np.ones(len(c), np.int64)) for f, c in index.centroids.items()}
+    for r in seen:
+        if r.n > 2 * BLOCK:
+            for blocks, many in zip(index.blocks[r.list // FIELD], (r.n, r.asked)):
+                blocks[r.list % FIELD] = -(-many // BLOCK)
+    placed = classes.mapInArrow(_place(index, probes, least), PLACED)
+    found = placed.groupBy("list", "dblk", "qblk").applyInArrow(_search(index, k, least, eps), "field int, q long, d long, sim double")
+    found = _checked(cut(found.select("field", F.least("q", "d").alias("q"), F.greatest("q", "d").alias("d")).distinct()), classes)
+    found = cut(found if least is None else found.filter(F.col("sim") >= least))
+    found = found.unionByName(found.select("field", F.col("d").alias("q"), F.col("q").alias("d"), "sim"))
     w = Window.partitionBy("field", "q").orderBy(F.desc("sim"), "d")
     return found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
 
@@ -433,39 +387,42 @@ def _divide(classes: DataFrame, index: Index, hot: dict[int, int], sizes: dict[i
                     held = np.flatnonzero(np.isin(near, list(hot)))
                     yield pa.RecordBatch.from_arrays([pa.array(near[held].astype(np.int32)), v.take(pa.array(held))], names=["list", "vec"])
 
-    rows = by_hash(classes.mapInArrow(only, "list int, vec binary"), "vec", sum(hot.values()), TRAIN).collect()
-    held: dict[int, list[np.ndarray]] = {}
-    for r in rows:
-        held.setdefault(r.list, []).append(np.frombuffer(r.vec, np.float32))
+    most = TRAIN_A_LIST * sum(round(n * len(index.centroids[at // FIELD]) / sizes[at // FIELD]) for at, n in hot.items())
+    rows = by_hash(classes.mapInArrow(only, "list int, vec binary"), "vec", sum(hot.values()), min(TRAIN, most)).toArrow()
+    lists, x = rows.column("list").to_numpy(), _matrix(rows.column("vec"), np.float32)
+    order = np.argsort(lists, kind="stable")
+    names, first = np.unique(lists[order], return_index=True)
+    held = dict(zip(names.tolist(), np.split(x[order], first[1:])))
     parts: dict[int, list[np.ndarray]] = {f: [] for f in index.centroids}
     for f, c in index.centroids.items():
         average = max(1, sizes[f] / len(c))
         for i in range(len(c)):
             some = held.get(f * FIELD + i)
-            want = min(1024, round(hot.get(f * FIELD + i, 0) / average), len(some) // 8 if some else 0)
-            parts[f].append(kmeans(np.stack(some), want) if want > 1 else c[i : i + 1])
+            want = min(round(hot.get(f * FIELD + i, 0) / average), len(some) // 8 if some is not None else 0)
+            parts[f].append(kmeans(some, want) if want > 1 else c[i : i + 1])
     return Index({f: np.concatenate(p) for f, p in parts.items()}, index.turn, {})
 
 
-def vector_classes(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups of exact copies: classes (field, cid, vec, n, rep) and first members (field, cid, id, r) of each.
-
-    ``rep`` is the smallest key of a class; the members listed are its six smallest keys, ``r`` from 1. Copies are not
-    expanded into pairs anywhere.
-    """
-    classes = cut(units.groupBy("field", "vec").agg(F.count("*").alias("n"), F.min("id").alias("rep")).select("field", F.monotonically_increasing_id().alias("cid"), "vec", "n", "rep"))
-    return classes, classes
+def vector_classes(units: DataFrame) -> DataFrame:
+    """(field, cid, vec, n, rep): groups of exact copies with their number and smallest key."""
+    return cut(units.groupBy("field", "vec").agg(F.count("*").alias("n"), F.min("id").alias("rep")).select("field", F.monotonically_increasing_id().alias("cid"), "vec", "n", "rep"))
 
 
 def members(units: DataFrame, classes: DataFrame, most: int | None = None) -> DataFrame:
-    """(field, cid, id, r, n): keys of each class, all or the ``most`` smallest, numbered in order of the keys.
+    """(field, cid, id, r, n): keys of each class, all or the ``most`` smallest, numbered from 1 in order of the keys.
 
     The numbering is made within salts first, so that a class of very many copies is not sorted in one task; with
-    ``most`` None ``r`` is null beyond that.
+    ``most`` None ``r`` is null beyond that. Classes of more than MANY copies, of which there are few, are joined by
+    broadcast, as long as they are at most A_BROADCAST.
     """
     alone = classes.filter("n = 1").select("field", "cid", F.col("rep").alias("id"), F.lit(1).alias("r"), "n")
-    many = classes.filter("n > 1").select("field", "cid", "vec", "n")
-    held = units.join(many, ["field", "vec"]).select("field", "cid", "id", "n", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
+    several = classes.filter("n > 1").select("field", "cid", "vec", "n")
+    hot = several.filter(F.col("n") > MANY)
+    if 0 < hot.limit(A_BROADCAST + 1).count() <= A_BROADCAST:
+        held = units.join(F.broadcast(hot), ["field", "vec"]).unionByName(units.join(several.filter(F.col("n") <= MANY), ["field", "vec"]))
+    else:
+        held = units.join(several, ["field", "vec"])
+    held = held.select("field", "cid", "id", "n", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
     if most is None:
         return alone.unionByName(held.select("field", "cid", "id", F.lit(None).cast("int").alias("r"), "n"))
     a = Window.partitionBy("field", "cid", "salt").orderBy("id")
@@ -477,12 +434,12 @@ def members(units: DataFrame, classes: DataFrame, most: int | None = None) -> Da
 def similar_pairs(rows: DataFrame, key: str, fields: list[str], k: int = 5, least: float = 0.92, dim: int = 64, probes: int = 8, eps: float = 1.9) -> DataFrame:
     """(vector_field, card_a, card_b): pairs at least ``least`` similar of which one is among the other's k most similar.
 
-    card_a < card_b by bytes; of equally similar cards the smaller keys come first. Exact copies are searched once as
+    card_a < card_b by bytes; of equally similar vectors that differ those with the lower class number come first. Exact copies are searched once as
     a class. Each has its first k fellow copies as its most similar; what is left of k is filled from other classes.
     Unusable vectors (see ``unit_vectors``) take no part; empty tables give no rows.
     """
     units = cut(unit_vectors(rows, key, fields, dim))
-    classes, _ = vector_classes(units)
+    classes = vector_classes(units)
     near = cut(nearest(classes, k, least, probes, eps))
     first = cut(members(units, classes, k + 1))
     copies = classes.filter("n > 1")
