@@ -66,6 +66,22 @@ def test_deep_chain_and_wide_parent(spark):
     assert got[("d119", "d0")] == 119 and got[("w299", "top")] == 1 and len(got) == 421
 
 
+def test_intervals_hold_the_forest_and_hot_blocks_are_salted(spark, monkeypatch):
+    from weftline.operators import hierarchy as H
+
+    monkeypatch.setattr(H, "SPREAD", 2)  # nearly every block is salted
+    data = [("top", None, [f"w{i}" for i in range(60)])] + [(f"w{i}", None, [f"x{i}"]) for i in range(60)] + [(f"x{i}", ["w0"], None) for i in range(60)]
+    h = build(spark, data)
+    reach, _, desc = brute(data)
+    assert {tuple(r) for r in h.reach().collect()} == reach and {tuple(r) for r in h.descendants().collect()} == desc
+    got = {r.slug: r for r in h.intervals().collect()}
+    assert [r.slug for r in got.values() if r.top] == ["top"] and got["top"].depth == 0
+    for a in got.values():
+        below = {x.slug for x in got.values() if a.entry < x.entry <= a.exit}
+        assert below <= {x for s, x in desc if s == a.slug}
+    assert got["x5"].extra_parents in ("w0", "w5")
+
+
 def test_empty(spark):
     h = build(spark, [])
     assert h.reach().collect() == [] and h.cyclic().collect() == [] and h.descendants().collect() == []

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from weftline.runtime import Cut, cut, ship
 
-LOCAL = 1_000_000  # links up to which circles are looked for in one task, by the same steps
+LOCAL = 65_536  # links of the core, what is left by peeling, up to which its components are found in one task
+SPREAD = 16  # points of a dyadic block of level SPREAD or less are one key; larger blocks are salted to as many each
 FAN = 64  # buckets into which the children of one parent are spread
 TOP = -1  # the node above all tree roots
 
@@ -40,16 +41,11 @@ def links(tags: DataFrame, key: str, parents: str, children: str) -> tuple[DataF
     return nodes, cut(told.join(of("p"), "ps").join(of("c"), "cs").select("p", "c", "ps"))
 
 
-def _circles_here(t: pa.Table) -> pa.Table:
-    """All links of a small table: peel leaves and roots, then find components depth first."""
+def _components_here(t: pa.Table) -> pa.Table:
+    """The components of a small core, depth first; the same as by joins."""
     ends = np.stack([t.column("p").to_numpy(), t.column("c").to_numpy()])
     ids, at = np.unique(ends, return_inverse=True)
     p, c = at.reshape(2, -1)
-    while len(p):
-        keep = np.isin(c, p) & np.isin(p, c)
-        if keep.all():
-            break
-        p, c = p[keep], c[keep]
     kids: dict[int, list[int]] = {}
     for x, y in zip(p.tolist(), c.tolist()):
         kids.setdefault(x, []).append(y)
@@ -92,11 +88,10 @@ def _circles_here(t: pa.Table) -> pa.Table:
 
 
 def circles(edges: DataFrame, local: int = LOCAL) -> DataFrame:
-    """(id, scc): nodes on circles of two or more links, scc being the same for the nodes of one component."""
-    core = Cut(edges.filter("p <> c").select("p", "c").distinct())
-    if core.df.count() <= local:
-        ship(edges.sparkSession)
-        return core.df.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_circles_here, "id long, scc long")
+    """(id, scc): nodes on circles of two or more links, scc being the same for the nodes of one component.
+
+    Leaves and roots are peeled off in rounds of joins until only the core is left, what lies on or between circles.
+    """
     found: list[DataFrame] = []
 
     def peel(e: Cut) -> tuple[Cut, int]:
@@ -114,7 +109,10 @@ def circles(edges: DataFrame, local: int = LOCAL) -> DataFrame:
             n = m
         return e, n
 
-    core, left = peel(core)
+    core, left = peel(Cut(edges.filter("p <> c").select("p", "c").distinct()))
+    if left <= local:
+        ship(edges.sparkSession)
+        return core.df.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_components_here, "id long, scc long")
     while left:
         e = core.df
         colour = Cut(e.select(F.col("p").alias("id")).union(e.select("c")).distinct().withColumn("k", F.col("id")))
@@ -122,6 +120,7 @@ def circles(edges: DataFrame, local: int = LOCAL) -> DataFrame:
             had = colour.df
             told = e.join(had.withColumnRenamed("id", "p"), "p").groupBy(F.col("c").alias("id")).agg(F.min("k").alias("k2"))
             new = Cut(had.join(told, "id", "left").select("id", F.least("k", F.coalesce("k2", "k")).alias("k"), (F.col("k2") < F.col("k")).alias("moved")))
+            colour.drop()
             colour = new
             if new.df.filter("moved").isEmpty():
                 break
@@ -188,15 +187,18 @@ def within(inner: DataFrame, point: str, outer: DataFrame, lo: str, hi: str, top
     """Join each point of ``inner`` with the intervals of ``outer`` that hold it: an equi-join on dyadic blocks.
 
     An interval is cut into at most two blocks a level; a point lies in one block a level; they meet exactly once.
+    A block of more than 2 ** SPREAD places is salted, so that the few blocks that hold most points are no hot keys.
     """
     levels = max(1, int(top).bit_length() + 1)
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels)))
-    size = F.expr("shiftleft(1L, lv)")
+    size, salts = F.expr("shiftleft(1L, lv)"), F.expr(f"shiftleft(1L, greatest(lv - {SPREAD}, 0))")
     o = outer.withColumn("lv", lv).withColumn("k1", F.ceil(F.col(lo) / size)).withColumn("k2", F.floor((F.col(hi) + 1) / size) - 1).filter("k1 <= k2").withColumn("blk", F.explode(F.array_distinct(F.array("k1", "k2"))))
     above = F.floor(F.col("blk") / 2)
-    o = o.filter(~((above * 2 * size >= F.col(lo)) & ((above + 1) * 2 * size - 1 <= F.col(hi)))).drop("k1", "k2")
-    i = inner.withColumn("lv", lv).withColumn("blk", F.floor(F.col(point) / size))
-    return i.join(o, ["lv", "blk"]).drop("lv", "blk")
+    o = o.filter(~((above * 2 * size >= F.col(lo)) & ((above + 1) * 2 * size - 1 <= F.col(hi)))).drop("k1", "k2").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    # Only levels on which intervals lie, at most some sixty.
+    used = [r.lv for r in o.select("lv").distinct().collect()]
+    i = inner.withColumn("lv", F.explode(F.lit(used or [0]))).withColumn("blk", F.floor(F.col(point) / size)).withColumn("salt", F.pmod(F.xxhash64(point), salts))
+    return i.join(o, ["lv", "blk", "salt"]).drop("lv", "blk", "salt")
 
 
 @dataclass
@@ -240,10 +242,15 @@ class Hierarchy:
             step = front.df.join(hops, "portal").select("root", F.col("to").alias("portal"), (F.col("dist") + F.col("step")).alias("dist"), *([F.concat("way", "leg").alias("way")] if paths else []))
             step = step.groupBy(*keys).agg(pick).select(*keys, "m.*")
             known = best.df.select(*keys, F.col("dist").alias("old"))
-            front = Cut(step.join(known, keys, "left").filter("old is null or dist < old").drop("old"))
+            new = Cut(step.join(known, keys, "left").filter("old is null or dist < old").drop("old"))
+            if front is not best:
+                front.drop()
+            front = new
             if front.df.isEmpty():
                 break
-            best = Cut(best.df.unionByName(front.df).groupBy(*keys).agg(pick).select(*keys, "m.*"))
+            more = Cut(best.df.unionByName(front.df).groupBy(*keys).agg(pick).select(*keys, "m.*"))
+            best.drop()
+            best = more
         inside = within(self.nodes.select("id", "entry", "depth"), "entry", portals, "lo", "hi", self.top)
         far = inside.join(best.df, "portal").select("root", "id", "portal", "pd", (F.col("dist") + F.col("depth") - F.col("pd")).alias("depth"), *(["way"] if paths else []))
         if trail is not None:
@@ -253,6 +260,16 @@ class Hierarchy:
         name = lambda end, to: self.nodes.select(F.col("id").alias(end), F.col("slug").alias(to))
         return far.join(name("id", "slug"), "id").join(name("root", "root_slug"), "root").select("slug", "root_slug", "depth", *(["path"] if paths else []))
 
+    def intervals(self) -> DataFrame:
+        """(slug, entry, exit, depth, top, extra_parents): the hierarchy without any pair of tags written out.
+
+        ``a`` is an ancestor of ``x`` in the forest if ``a.entry <= x.entry <= a.exit``; ``top`` tells the tags that have
+        no tree parent, ``extra_parents`` the parents by links that are not in the forest.
+        """
+        name = self.nodes.select(F.col("id").alias("p"), F.col("slug").alias("parent"))
+        more = self.extra.join(name, "p").groupBy(F.col("c").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("parent")), ",").alias("extra_parents"))
+        return self.nodes.join(more, "id", "left").select("slug", "entry", "exit", "depth", (F.col("p") == TOP).alias("top"), F.coalesce("extra_parents", F.lit("")).alias("extra_parents"))
+
     def trails(self) -> DataFrame:
         """(id, trail): the slugs from the forest's root down to the node, by its ancestors' intervals."""
         outer = self.nodes.select(F.col("slug").alias("s"), F.col("entry").alias("lo"), F.col("exit").alias("hi"), F.col("depth").alias("d"))
@@ -269,10 +286,15 @@ class Hierarchy:
         best = front = Cut(over)
         while True:
             step = front.df.join(hops, "portal").select("a", F.col("to").alias("portal")).distinct()
-            front = Cut(step.join(best.df, ["a", "portal"], "left_anti"))
+            new = Cut(step.join(best.df, ["a", "portal"], "left_anti"))
+            if front is not best:
+                front.drop()
+            front = new
             if front.df.isEmpty():
                 break
-            best = Cut(best.df.unionByName(front.df))
+            more = Cut(best.df.unionByName(front.df))
+            best.drop()
+            best = more
         points = self.nodes.select("id", "entry")
         tree = within(points, "entry", mine, "lo", "hi", self.top).filter("a <> id").select("a", "id")
         sub = within(points, "entry", portals, "lo", "hi", self.top).select("portal", "id")

@@ -44,7 +44,12 @@ def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy(table(spark, sf_dir, "tags")).descendants()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p4_found, p4_paths, p4_descendants)}
+def p4_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry, exit and depth of each tag: all descendants without writing out a pair."""
+    return hierarchy(table(spark, sf_dir, "tags")).intervals()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p4_found, p4_paths, p4_descendants, p4_intervals)}
 
 _LATEST_CARDS = "cc AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY updated_at DESC) rn FROM cards WHERE _id IS NOT NULL) WHERE rn = 1)"
 _P1 = f"""WITH {_LATEST_CARDS},
