@@ -1,12 +1,13 @@
 import os
 import random
+import unicodedata
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from weftline.llm import packing as P
-from weftline.llm.canonical import ALIKE, alike_pairs, canonical, canonical_texts
+from weftline.llm.canonical import ALIKE, Forms, alike_classes, alike_pairs, canonical, canonical_texts, look_alikes
 from weftline.llm.mixing import Mix
 from weftline.llm.tokens import VOCABULARY, encoder, sized
 
@@ -23,11 +24,7 @@ def docs(spark, rows):
 
 def whole(text):
     """The same form without segments: every character shown, then composed."""
-    import unicodedata
-
-    from weftline.llm.canonical import shown
-
-    return unicodedata.normalize("NFC", "".join(map(shown, text)))
+    return unicodedata.normalize("NFC", "".join(map(Forms().shown, text)))
 
 
 @settings(max_examples=300, deadline=None)
@@ -47,6 +44,24 @@ def test_looks():
     assert all(len(v) == 1 for v in ALIKE.values())
 
 
+def test_the_public_table_of_look_alikes(spark):
+    table = look_alikes(spark)
+    form = Forms(table).canonical
+    pairs = {0x3B1: "a", 0x3C1: "p", 0x131: "i", 0x4CF: "i", 0x13AA: "A", 0xA4EE: "A", 0x2C9F: "o", 0x1D0F: "o", 0x3F9: "C", 0x50C: "G", 0x2212: "-", 0x406: "I", 0x430: "a"}
+    assert {cp: form(chr(cp)) for cp in pairs} == pairs
+    # Look-alikes keep their case, and digits are never taken for letters.
+    assert all(v.isupper() == k.isupper() for k, v in table.items() if v.isalpha() and k.isalpha() and (k.isupper() or k.islower()))
+    assert not any(v.isdigit() for v in table.values()) and not any(k.isascii() for k in table)
+    assert all(form(form(k)) == form(k) for k in table)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aÀαо́̈​ﬁ한한 кот- \n"), max_size=40))
+def test_segments_are_spliced_as_whole(text):
+    forms = Forms()
+    assert forms.canonical(text) == unicodedata.normalize("NFC", "".join(map(forms.shown, text)))
+
+
 def test_pairs_with_copies_nulls_and_long_texts(spark):
     rows = [(1, "bump", None), (2, "bump", None), (3, "bu​mp", None), (4, None, None), (5, "", None), (6, "​", None), (7, "x" * 200_000, None), (8, "х" * 200_000, None), (9, "other", None), (None, "bump", None)]
     got = sorted(map(tuple, alike_pairs(docs(spark, rows), "doc_id", "text").collect()))
@@ -54,6 +69,9 @@ def test_pairs_with_copies_nulls_and_long_texts(spark):
     assert alike_pairs(docs(spark, []), "doc_id", "text").collect() == []
     forms = {r.doc_id: r.canonical for r in canonical_texts(docs(spark, rows), "doc_id", "text").collect()}
     assert forms[3] == "bump" and 4 not in forms and forms[6] == ""
+    classes = {r.doc_id: (r.class_id, r.n_docs, r.n_texts) for r in alike_classes(docs(spark, rows), "doc_id", "text").collect()}
+    assert classes == {1: (1, 3, 2), 2: (1, 3, 2), 3: (1, 3, 2), 5: (5, 2, 2), 6: (5, 2, 2), 7: (7, 2, 2), 8: (7, 2, 2)}
+    assert alike_classes(docs(spark, []), "doc_id", "text").collect() == []
 
 
 # --- packing ---
@@ -89,7 +107,12 @@ def test_packing_keeps_everything_once(spark, containers):
     r = random.Random(4)
     rows = [(i, " ".join(["word"] * r.randint(1, 90)), "s") for i in range(400)] + [(1000, "word " * 1000, "s"), (1001, None, "s"), (1002, "", "s"), (None, "word", "s"), (1003, "word " * 64, "s")]
     d = docs(spark, rows)
-    placed = P.packed(d, "doc_id", "text", capacity=64, containers=containers).collect()
+    packing = P.packed(d, "doc_id", "text", capacity=64, containers=containers)
+    placed = packing.places.collect()
+    told = P.packing_report(packing, 64).first()
+    assert told.n_containers == len({p.container for p in placed}) >= told.least_containers and told.certified == (told.n_containers == told.least_containers)
+    parts = packing.partitions.collect()
+    assert told.n_partitions == len(parts) > 0 and all(p.bins >= p.bound and p.certified == (p.bins == p.bound) for p in parts)
     n = {x.doc_id: x.n_tokens for x in sized(d, "doc_id", "text").collect() if x.doc_id is not None}
     got: dict[int, int] = {}
     fill: dict[str, int] = {}
@@ -101,7 +124,8 @@ def test_packing_keeps_everything_once(spark, containers):
     assert {p.doc_id for p in placed if p.piece > 0} == {k for k, v in n.items() if v > 64}
     assert len({(p.doc_id, p.piece) for p in placed}) == len(placed)
     assert len(fill) <= -(-sum(n.values()) // 64) * 1.03 + 1
-    assert P.packed(docs(spark, []), "doc_id", "text").collect() == []
+    empty = P.packed(docs(spark, []), "doc_id", "text")
+    assert empty.places.collect() == [] and P.packing_report(empty).first().n_containers == 0
 
 
 @needs_vocabulary
@@ -129,8 +153,9 @@ def test_shares_repeats_and_short_sources(spark):
     m = Mix(docs(spark, rows), targets(spark, want))
     rep = {x.source: x for x in m.report().collect()}
     assert {s for s, x in rep.items() if x.short} == {s for s, x in rep.items() if x.own_tokens * x.max_repeats < x.target_share * m.total}
-    assert rep["absent"].short and rep["tiny"].short
+    assert rep["absent"].short and rep["tiny"].short and {x.source for x in m.shorts().collect()} == {"absent", "tiny"} | {s for s, x in rep.items() if x.short}
     for s, x in rep.items():
+        assert x.met != x.short
         if not x.short:
             assert abs(x.mix_tokens - x.target_share * m.total) <= 0.01 * x.target_share * m.total + 60
         else:

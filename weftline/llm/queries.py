@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.canonical import alike_pairs, canonical_texts
+from weftline.llm.canonical import alike_classes, alike_pairs, canonical_texts
 from weftline.llm.clusters import described, groups
 from weftline.llm.cooccurrence import cooccurrences
 from weftline.llm.mixing import Mix
-from weftline.llm.packing import packed, packing_report
+from weftline.llm.packing import Packing, packed, packing_report
 from weftline.llm.terms import marks, term_counts
 from weftline.llm.vectors import similar_pairs
 from weftline.runtime import cut, newest
@@ -69,12 +69,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.join(side("card_a"), "card_a").join(side("card_b"), "card_b").filter("g_card_a = g_card_b").select("card_a", "card_b")
 
 
-def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packed(spark: SparkSession, sf_dir: str) -> Packing:
     return packed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).places
+
+
+def p8_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The certificate of every partition that was packed."""
+    return _packed(spark, sf_dir).partitions
+
+
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing_report(p8_packing(spark, sf_dir))
+    return packing_report(_packed(spark, sf_dir))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,18 +103,24 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir).report().filter("short").select("source")
+    """The sources that the solver of the dual calls short."""
+    return _mix(spark, sf_dir).shorts()
 
 
 def p10_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "canonical")
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of one form that is stored in several texts, each with its class."""
+    return alike_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p6_found, p6_pairs, p7_found, p7_members, p7_groups, p8_found, p8_packing, p8_report, p9_found, p9_copies, p9_report, p10_found, p10_texts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p6_found, p6_pairs, p7_found, p7_members, p7_groups, p8_found, p8_packing, p8_partitions, p8_report, p9_found, p9_copies, p9_report, p10_found, p10_texts, p10_classes)}
 
 _CC = "cc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY updated_at DESC) AS rn FROM cards WHERE _id IS NOT NULL) WHERE rn = 1)"
 _TERMS = f"""{_CC}, v AS (SELECT _id, lower(trim(x)) AS slug FROM (SELECT _id, unnest(tags) AS x FROM cc) WHERE trim(x) <> ''),
