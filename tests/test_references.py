@@ -6,9 +6,9 @@ CHILD = "id long, ref string, at timestamp_ntz, k string, t string"
 PARENT = "pk string, s timestamp_ntz, e timestamp_ntz, k string"
 
 
-def run(spark, child, parent):
+def run(spark, child, parent, **kw):
     c, p = spark.createDataFrame(child, CHILD), spark.createDataFrame(parent, PARENT)
-    return sorted(map(tuple, unheld(c, p, "id", "ref", "at", "pk", "s", "e").select("row_key", "ref_month", "kind").collect()))
+    return sorted(map(tuple, unheld(c, p, "id", "ref", "at", "pk", "s", "e", **kw).select("row_key", "ref_month", "kind").collect()))
 
 
 def day(n, month=1):
@@ -58,6 +58,7 @@ def test_against_brute_force(spark):
             continue
         want.append((str(i), t.strftime("%Y-%m"), "missing" if not mine else "deleted" if any(s <= t for s, _ in mine) else "late"))
     assert run(spark, child, parent) == sorted(want)
+    assert run(spark, child, parent, many_spans=2) == sorted(want)  # keys of more intervals are swept
 
 
 def test_counted(spark):

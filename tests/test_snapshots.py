@@ -34,6 +34,8 @@ def test_small_tables_are_enlarged_until_all_is_recovered(spark):
     want = sorted([(2, k, "added") for k in new.keys() - old.keys()] + [(2, k, "removed") for k in old.keys() - new.keys()] + [(2, k, "changed") for k in new.keys() & old.keys() if new[k] != old[k]])
     data = rows(*[(1, k, v, 1) for k, v in old.items()], *[(2, k, v, 1) for k, v in new.items()])
     assert run(spark, data, cells=4, bucket_records=100) == want
+    # One bucket that never peels, even enlarged: its records are compared themselves.
+    assert run(spark, data, cells=1, bucket_records=5000) == want
 
 
 def test_peel_tells_a_table_that_is_too_small():

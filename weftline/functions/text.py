@@ -68,9 +68,9 @@ def deck_name(line: Column) -> Column:
 
 
 def head_of(values: Column, n: int) -> Column:
-    """The first n values joined, and how many more there are."""
+    """The first n values joined, and how many more there are, as one more item of the list."""
     k = F.size(values)
-    return F.concat(F.array_join(F.slice(values, 1, n), ", "), F.when(k > n, F.concat(F.lit(" (+"), (k - n).cast("string"), F.lit(" more)"))).otherwise(""))
+    return F.concat(F.array_join(F.slice(values, 1, n), ", "), F.when(k > n, F.concat(F.lit(", (+"), (k - n).cast("string"), F.lit(" more)"))).otherwise(""))
 
 
 def split_option(value: str | None, default: list[str] | None = None) -> list[str] | None:

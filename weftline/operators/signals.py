@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.vectors import rate
@@ -20,13 +20,26 @@ def flattened(payloads: DataFrame, key: str = "slug") -> DataFrame:
     first in order of sections of equal ones.
     """
     lists = payloads.select(F.col(key).alias("commander"), F.posexplode("payload.container.json_dict.cardlists").alias("i", "l"))
-    views = lists.select("commander", "i", F.posexplode("l.cardviews").alias("j", "v")).select("commander", "i", "j", "v.*")
+    views = lists.select("commander", "i", F.posexplode("l.cardviews").alias("j", "v")).select("commander", F.array("i", "j").alias("place"), "v.*")
+    return best_views(views)
+
+
+def best_views(views: DataFrame) -> DataFrame:
+    """The signals of entries (commander, place, id, name, lift, synergy, num_decks, potential_decks, trend_zscore).
+
+    ``place`` orders the entries of a commander; see ``flattened``. One pass of partial sums, no sort of a commander's rows.
+    """
     held = views.filter("id <> '' and name <> '' and lift is not null and num_decks is not null")
-    best = held.groupBy("commander", "id").agg(F.max(F.struct("lift", (-F.col("i")).alias("x"), (-F.col("j")).alias("y"), "name", "synergy", "num_decks", "potential_decks", "trend_zscore")).alias("m")).select("commander", "id", "m.*")
+    best = held.groupBy("commander", "id").agg(F.max("lift").alias("lift"), F.min_by(F.struct("name", "synergy", "num_decks", "potential_decks", "trend_zscore"), F.struct((-F.col("lift")).alias("x"), "place")).alias("m")).select("commander", "id", "lift", "m.*")
     p = F.coalesce("potential_decks", F.lit(0))
     return best.select("commander", F.col("id").alias("card_id"), "name", "lift", F.coalesce("synergy", F.lit(0.0)).alias("synergy"), "num_decks", p.alias("potential_decks"), "trend_zscore", rate(F.col("num_decks"), p).alias("inclusion"))
 
 
+def fresh(fetched_at: Column, now: Column, days: int) -> Column:
+    """``is_fresh`` over a column of times; a null time is stale."""
+    return F.coalesce(fetched_at > now - F.expr(f"interval {max(0, days)} days"), F.lit(False))
+
+
 def ttl_days(value: str | None, default: int = TTL_DAYS) -> int:
     """Days a cached payload is good for: negative ones count as 0, anything but a whole number is an error."""
     return default if value is None or value == "" else max(0, int(value))

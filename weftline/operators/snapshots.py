@@ -4,7 +4,8 @@ Every record of a snapshot is an element (key hash, content hash). For each snap
 to one cell in each of three sub-tables: a count and the exclusive-or of the key, content and check hashes. Subtracting
 the tables of two snapshots cancels what they share, so their size follows the number of differences, not of records.
 Peeling cells that hold a single element recovers the differing elements; a bucket that cannot be peeled is built again
-with four times the cells, until a cell for every element is there.
+with four times the cells, ENLARGED times at most. One that even then does not peel, as when two records are alike in both
+hashes, has all its records compared.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from weftline.runtime import Cut, cut, newest, ship
 
 PARTS = 3
 RECORDS_A_BUCKET = 1024
+ENLARGED = 4
 CELLS = 128  # in each part of a bucket's first table
 PEELED = "step int, bucket int, kh long, vh long, side int, ok boolean"
 
@@ -109,24 +111,25 @@ def changes(snapshots: DataFrame, no: str, key: str, text: str, delivered: str,
     being the empty text; no other column matters, nor any stored signature. Rows with a null key or snapshot number are
     dropped. One snapshot or none gives no rows. Numbers may have gaps.
 
-    The keys that come out of peeling are looked up in both snapshots and their texts compared, so a clash of 64-bit
-    hashes cannot make a false change.
+    The keys that come out of peeling are looked up in both snapshots and the SHA-256 of their texts compared, so a clash
+    of 64-bit hashes cannot make a false change; no text is shuffled beyond its first choice of rows.
     """
     spark = snapshots.sparkSession
     ship(spark)
-    src = snapshots.select(F.col(f"`{no}`").cast("int").alias("snapshot_no"), F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("txt"), F.col(f"`{delivered}`").alias("at"))
+    src = snapshots.select(F.col(f"`{no}`").cast("int").alias("snapshot_no"), F.col(f"`{key}`").alias("id"), F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).alias("txt"), F.col(f"`{delivered}`").alias("at"))
     rows = cut(newest(src, ["snapshot_no", "id"], "at").select("snapshot_no", "id", "txt", F.xxhash64("id").alias("kh"), F.xxhash64("txt", F.lit(1)).alias("vh")))
     sizes = rows.groupBy("snapshot_no").count()
     # A row for each snapshot: as few as the deliveries.
     steps = cut(sizes.select("snapshot_no", "count", F.lag("snapshot_no").over(Window.orderBy("snapshot_no")).alias("before")))
     most = steps.agg(F.max("count")).first()[0] or 0
     buckets = max(1, -(-most // bucket_records))
-    elements = rows.select("snapshot_no", F.pmod("kh", F.lit(buckets)).cast("int").alias("bucket"), "kh", "vh")
+    # The records of a bucket come together before they are sketched, else a batch hardly meets a cell twice.
+    elements = rows.select("snapshot_no", F.pmod("kh", F.lit(buckets)).cast("int").alias("bucket"), "kh", "vh").repartition("bucket").sortWithinPartitions("bucket", "snapshot_no")
     pairs = steps.filter("before is not null").select("snapshot_no", "before")
     sides = pairs.select(F.col("snapshot_no").alias("step"), "snapshot_no", F.lit(1).alias("sign")).unionByName(pairs.select(F.col("snapshot_no").alias("step"), F.col("before").alias("snapshot_no"), F.lit(-1).alias("sign")))
     done: list[DataFrame] = []
     failed: DataFrame | None = None
-    while True:
+    for attempt in range(ENLARGED + 1):
         part = elements
         if failed is not None:
             # Both snapshots of a failed (step, bucket) are sketched again, whole.
@@ -139,10 +142,12 @@ def changes(snapshots: DataFrame, no: str, key: str, text: str, delivered: str,
             signed = signed.join(failed, ["step", "bucket"], "left_semi")
         less = signed.groupBy("step", "bucket", "cell").agg(F.sum("n").alias("n"), F.bit_xor("kx").alias("kx"), F.bit_xor("vx").alias("vx"), F.bit_xor("cx").alias("cx")).filter("n <> 0 or kx <> 0 or vx <> 0 or cx <> 0")
         peeled = Cut(less.groupBy("step", "bucket").applyInArrow(_peel(cells), PEELED)).df
-        done.append(peeled.filter("ok"))
+        done.append(peeled.filter("ok").select("step", "kh"))
         failed = peeled.filter("not ok").select("step", "bucket").distinct()
         if failed.isEmpty():
             break
+        if attempt == ENLARGED:  # these do not peel at all: all their records are compared
+            done.append(elements.join(sides, "snapshot_no").join(failed, ["step", "bucket"], "left_semi").select("step", "kh"))
         cells *= 4
     hits = done[0]
     for d in done[1:]:

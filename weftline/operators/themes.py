@@ -49,6 +49,22 @@ def discover(catalogue: DataFrame, card_tags: DataFrame, tag_vecs: DataFrame, wi
     return themes, members.join(themes.select("name"), "name", "left_semi")
 
 
+def ordered(themes: DataFrame) -> DataFrame:
+    """(name, coverage, place long): themes, the widest first, then by name; as few rows as there are parentless tags."""
+    return themes.select("name", "coverage", F.row_number().over(Window.orderBy(F.desc("coverage"), "name")).cast("long").alias("place"))
+
+
+def tag_universe(decks: DataFrame, card_tags: DataFrame) -> DataFrame:
+    """(deck_id, slug): every tag that a card of the deck has, once."""
+    return decks.join(card_tags, "card_id").select("deck_id", "slug").distinct()
+
+
+def centroids(merged: DataFrame, themes: DataFrame) -> DataFrame:
+    """(deck_id, label, centroid): the unit mean of the representatives of the themes merged into each cluster."""
+    held = merged.join(themes.select("name", "representative"), "name")
+    return mean_vectors(held, ["deck_id", "keeper"], "representative").select("deck_id", F.col("keeper").alias("label"), unit(F.col("mean")).alias("centroid"))
+
+
 def classified(card_tags: DataFrame, themes: DataFrame, members: DataFrame, text_vecs: DataFrame) -> DataFrame:
     """(card_id, name): each card's theme among those that share a tag with it; cards of none are left out.
 
@@ -104,19 +120,52 @@ def profile(decks: DataFrame, card_tags: DataFrame, themes: DataFrame, members:
     ``constituents`` the themes merged into it; both sorted and joined by a comma. Cards of no theme are counted in
     ``n_unassigned`` of every row of their deck; decks without any cluster have no row.
     """
+    c = classify_decks(decks, card_tags, themes, members, text_vecs, vecs, threshold)
+    n = c.placed.groupBy("deck_id", "keeper").agg(F.count("*").alias("n_cards"))
+    parts = c.merged.groupBy("deck_id", "keeper").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("constituents"))
+    tags = c.tags.groupBy("deck_id", "keeper").agg(F.array_join(F.array_sort(F.collect_set("slug")), ",").alias("tags"))
+    loose = c.loose.groupBy("deck_id").agg(F.count("*").alias("n_unassigned"))
+    out = n.join(parts, ["deck_id", "keeper"]).join(tags, ["deck_id", "keeper"], "left").join(loose, "deck_id", "left")
+    return out.select("deck_id", F.col("keeper").alias("label"), "n_cards", F.coalesce("tags", F.lit("")).alias("tags"), "constituents", F.coalesce("n_unassigned", F.lit(0).cast("long")).alias("n_unassigned"))
+
+
+@dataclass
+class Classified:
+    """The decks' clusters of themes, part by part; nothing is gathered into one row."""
+
+    placed: DataFrame  # deck_id, name, card_id, keeper: each assigned card, its theme and that one's cluster
+    merged: DataFrame  # deck_id, name, keeper
+    tags: DataFrame  # deck_id, keeper, slug: tags of a cluster's cards that its themes hold
+    loose: DataFrame  # deck_id, card_id: cards of no theme
+
+
+def classify_decks(decks: DataFrame, card_tags: DataFrame, themes: DataFrame, members: DataFrame, text_vecs: DataFrame, vecs: DataFrame, threshold: float) -> Classified:
     by_card = cut(classified(card_tags, themes, members, text_vecs))
     assigned = cut(decks.join(by_card, "card_id"))
     merged = cut(merge_map(assigned, themes, vecs, threshold))
     placed = assigned.join(merged, ["deck_id", "name"])
-    n = placed.groupBy("deck_id", "keeper").agg(F.count("*").alias("n_cards"))
-    parts = merged.groupBy("deck_id", "keeper").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("constituents"))
     # A deck's cards meet the slugs of their own cluster only, through the themes merged into it.
     reach = merged.join(members, "name").select("deck_id", "keeper", F.col("member").alias("slug")).distinct()
     tags = placed.select("deck_id", "keeper", "card_id").join(card_tags, "card_id").select("deck_id", "keeper", "slug").distinct().join(reach, ["deck_id", "keeper", "slug"], "left_semi")
-    tags = tags.groupBy("deck_id", "keeper").agg(F.array_join(F.array_sort(F.collect_set("slug")), ",").alias("tags"))
-    loose = decks.join(by_card, "card_id", "left_anti").groupBy("deck_id").agg(F.count("*").alias("n_unassigned"))
-    out = n.join(parts, ["deck_id", "keeper"]).join(tags, ["deck_id", "keeper"], "left").join(loose, "deck_id", "left")
-    return out.select("deck_id", F.col("keeper").alias("label"), "n_cards", F.coalesce("tags", F.lit("")).alias("tags"), "constituents", F.coalesce("n_unassigned", F.lit(0).cast("long")).alias("n_unassigned"))
+    return Classified(placed, merged, tags, decks.join(by_card, "card_id", "left_anti").select("deck_id", "card_id"))
+
+
+def profile_rows(c: Classified, members: DataFrame, universe: DataFrame, missing: DataFrame) -> DataFrame:
+    """(deck_id, label, kind, value): everything a deck's profile lists, a row for each item.
+
+    ``member`` cards, ``tag`` slugs and ``constituent`` themes of each cluster; for the deck, with an empty label, its
+    ``unassigned`` cards, ``universe`` of tags, ``noise`` tags that none of its themes covers, and the ``missing`` names
+    (deck_id, name) of its list. A reader sorts by kind and value.
+    """
+    covered = c.merged.join(members, "name").select("deck_id", F.col("member").alias("slug")).distinct()
+
+    def rows(df: DataFrame, kind: str, value: str, label: str | None = None) -> DataFrame:
+        return df.select("deck_id", (F.col(label) if label else F.lit("")).alias("label"), F.lit(kind).alias("kind"), F.col(value).alias("value"))
+
+    out = rows(c.placed, "member", "card_id", "keeper").unionByName(rows(c.tags, "tag", "slug", "keeper")).unionByName(rows(c.merged, "constituent", "name", "keeper"))
+    for df, kind, value in ((c.loose, "unassigned", "card_id"), (universe, "universe", "slug"), (noise(universe, covered), "noise", "slug"), (missing, "missing", "name")):
+        out = out.unionByName(rows(df, kind, value))
+    return out
 
 
 def label_votes(clusters: DataFrame, card_tags: DataFrame, tag_roots: DataFrame, blocked: list[str] = BLOCKED) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import features as fx
@@ -10,10 +10,11 @@ from weftline.functions import text as tx
 from weftline.functions.vectors import augmented, cosine, mean_vectors, rate, unit, usable
 from weftline.operators import cards as cx
 from weftline.operators import density, embedding, graph, themes
+from weftline.operators import signals as signal_ops
 from weftline.operators import tags as tg
 from weftline.operators.references import canonical_key
 from weftline.runtime import cut, newest, shared_dir
-from weftline.sources import files, table
+from weftline.sources import files, latest_cards, table
 
 ALPHA, MERGE, AS_OF, TTL_DAYS = 0.6, 0.35, "2025-06-01 00:00:00", 180
 
@@ -21,11 +22,6 @@ ALPHA, MERGE, AS_OF, TTL_DAYS = 0.6, 0.35, "2025-06-01 00:00:00", 180
 # --- what several queries share -------------------------------------------------------------------------------------
 
 
-def latest_cards(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Of each card the row that counts."""
-    return newest(table(spark, d, "cards").select("_id", *columns, "updated_at"), ["_id"], "updated_at")
-
-
 def signals(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Each signal once, with a commander and a known card as ``card_id``."""
     s = table(spark, d, "card_signals").select("signal_id", "commander", "scryfall_id", *columns).filter("commander is not null").distinct()
@@ -49,9 +45,13 @@ def tag_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_vectors(cards: DataFrame) -> DataFrame:
-    """(card_id, vec): the first 16 of a text vector's 64 numbers, the size of the tags' vectors; the other 48 are not looked at."""
-    v = F.slice(F.col("text_embedding"), 1, 16)
-    return cards.filter((F.size("text_embedding") == 64) & usable(v, 16)).select(F.col("_id").alias("card_id"), v.cast("array<double>").alias("vec"))
+    """(card_id, vec): usable text vectors of 64 numbers folded to the 16 of the tags' vectors.
+
+    A fixed projection of all numbers: the i-th is the sum of those at i, i + 16, i + 32 and i + 48.
+    """
+    v = F.col("text_embedding")
+    folded = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: sum((F.element_at(v, i + k).cast("double") for k in (16, 32, 48)), F.element_at(v, i).cast("double")))
+    return cards.filter(usable(v, 64)).select(F.col("_id").alias("card_id"), folded.alias("vec")).filter(usable(F.col("vec"), 16))
 
 
 def card_vectors(cards: DataFrame) -> DataFrame:
@@ -141,11 +141,15 @@ def resolve_deck(spark: SparkSession, d: str) -> DataFrame:
 
 
 def card_diff_merge(spark: SparkSession, d: str) -> DataFrame:
+    """What a merge of each snapshot into the one before it would do, counted by status."""
     rows = cut(newest(table(spark, d, "card_snapshots").select("snapshot_no", "_id", "oracle_id", "name", "oracle_text_sha", "delivered_at"), ["snapshot_no", "_id"], "delivered_at"))
-    last = rows.agg(F.max("snapshot_no")).first()[0]
-    first = rows.agg(F.min("snapshot_no")).first()[0]
-    new, old = rows.filter(F.col("snapshot_no") == last), rows.filter(F.col("snapshot_no") == first)
-    return cx.merge_status(new, old, "_id", "oracle_text_sha", F.col("name").isNull() | F.col("oracle_id").isNull()).groupBy("status").agg(F.count("*").alias("n_cards"))
+    # A row for each snapshot: as few as the deliveries.
+    steps = rows.select("snapshot_no").distinct().withColumn("before", F.lag("snapshot_no").over(Window.orderBy("snapshot_no"))).filter("before is not null")
+    key = F.struct("step", "_id").alias("key")
+    new = rows.join(steps, "snapshot_no").withColumn("step", F.col("snapshot_no")).select(key, "step", "oracle_text_sha")
+    old = rows.join(steps.select(F.col("snapshot_no").alias("step"), F.col("before").alias("snapshot_no")), "snapshot_no").select(key, "oracle_id", "name", "oracle_text_sha")
+    status = cx.merge_status(new, old, "key", "oracle_text_sha", F.col("name").isNull() | F.col("oracle_id").isNull())
+    return status.groupBy(F.col("step").alias("snapshot_no"), "status").agg(F.count("*").alias("n_cards"))
 
 
 def tag_invert(spark: SparkSession, d: str) -> DataFrame:
@@ -194,18 +198,14 @@ def cap_and_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signal_extract(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "card_signals").filter("commander is not null").select("signal_id", "commander", F.to_json(F.struct(F.col("scryfall_id").alias("id"), "name", "lift", "synergy", "num_decks", "potential_decks", "trend_zscore")).alias("view")).distinct()
-    v = s.select("signal_id", "commander", F.from_json("view", "id string, name string, lift double, synergy double, num_decks bigint, potential_decks bigint, trend_zscore double").alias("v")).select("signal_id", "commander", "v.*")
-    v = v.filter("id <> '' and name <> '' and lift is not null and num_decks is not null")
-    # Of a card's entries the highest lift, the first of equals: one pass of partial sums, no sort of a commander's rows.
-    best = v.groupBy("commander", "id").agg(F.max(F.struct("lift", (-F.col("signal_id")).alias("first"), "synergy", "num_decks", "potential_decks")).alias("m")).select("commander", "id", "m.*")
-    n, p = F.col("num_decks"), F.coalesce("potential_decks", F.lit(0))
-    return best.select("commander", "id", "lift", F.coalesce("synergy", F.lit(0.0)).alias("synergy"), "num_decks", p.alias("potential_decks"), F.round(rate(n, p), 6).alias("inclusion"))
+    views = table(spark, d, "card_signals").filter("commander is not null").select("commander", F.array("signal_id").alias("place"), F.col("scryfall_id").alias("id"), "name", "lift", "synergy", "num_decks", "potential_decks", "trend_zscore")
+    return signal_ops.best_views(views).select("commander", F.col("card_id").alias("id"), "lift", "synergy", "num_decks", "potential_decks", F.round("inclusion", 6).alias("inclusion"))
 
 
 def ttl_cache(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "card_signals").filter("commander is not null").groupBy("commander").agg(F.max(F.when(F.col("fetched_at") < F.expr(f"timestamp_ntz'{AS_OF}'"), F.col("fetched_at"))).alias("last"))
-    return s.select("commander", F.coalesce(F.expr(f"last > timestamp_ntz'{AS_OF}' - interval {TTL_DAYS} days"), F.lit(False)).alias("is_fresh"))
+    now = F.expr(f"timestamp_ntz'{AS_OF}'")
+    s = table(spark, d, "card_signals").filter("commander is not null").groupBy("commander").agg(F.max(F.when(F.col("fetched_at") < now, F.col("fetched_at"))).alias("last"))
+    return s.select("commander", signal_ops.fresh(F.col("last"), now, TTL_DAYS).alias("is_fresh"))
 
 
 def _stored_vectors(cards: DataFrame) -> DataFrame:
@@ -230,8 +230,10 @@ def invalidation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def display_names(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown for each card that a signal names: the card's name, else the id as it stands; and its first tags."""
+    asked = table(spark, d, "card_signals").select(F.col("scryfall_id").alias("_id")).filter("_id is not null").distinct()
     c = latest_cards(spark, d, "name", "tags")
-    return c.select("_id", F.coalesce("name", "_id").alias("shown"), tx.head_of(F.filter(F.coalesce("tags", tg.none()), lambda x: x.isNotNull()), 2).alias("tags_head"))
+    return asked.join(c, "_id", "left").select("_id", F.coalesce("name", "_id").alias("shown"), tx.head_of(F.filter(F.coalesce("tags", tg.none()), lambda x: x.isNotNull()), 2).alias("tags_head"))
 
 
 def health_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -273,6 +275,11 @@ def theme_coverage(spark: SparkSession, d: str) -> DataFrame:
     return found_themes(spark, d, cards, card_tags)[0].select("name", "coverage")
 
 
+def theme_order(spark: SparkSession, d: str) -> DataFrame:
+    cards, card_tags = _base(spark, d)
+    return themes.ordered(found_themes(spark, d, cards, card_tags)[0]).select("name", "coverage", "place")
+
+
 def theme_representative(spark: SparkSession, d: str) -> DataFrame:
     cards, card_tags = _base(spark, d)
     t = found_themes(spark, d, cards, card_tags)[0]
@@ -316,6 +323,37 @@ def theme_profile(spark: SparkSession, d: str) -> DataFrame:
     return themes.profile(decks(spark, d), card_tags, t, m, text_vectors(cards), card_vectors(cards), MERGE)
 
 
+def _missing(spark: SparkSession, d: str) -> DataFrame:
+    """(deck_id, name): what a commander's signals name that is no card."""
+    ids = table(spark, d, "cards").select(canonical_key(F.col("_id")).alias("k")).filter("k is not null").distinct()
+    s = table(spark, d, "card_signals").filter("commander is not null and name is not null").select(F.col("commander").alias("deck_id"), "name", canonical_key(F.col("scryfall_id")).alias("k"))
+    return s.join(ids, "k", "left_anti").select("deck_id", "name").distinct()
+
+
+def tag_universe(spark: SparkSession, d: str) -> DataFrame:
+    """Every tag of each deck."""
+    _, card_tags = _base(spark, d)
+    return themes.tag_universe(decks(spark, d), card_tags)
+
+
+def _classified_decks(spark: SparkSession, d: str) -> tuple[themes.Classified, DataFrame, DataFrame, DataFrame, DataFrame]:
+    cards, card_tags = _base(spark, d, "text_embedding", "card_vector")
+    t, m = found_themes(spark, d, cards, card_tags)
+    in_deck = cut(decks(spark, d))
+    return themes.classify_decks(in_deck, card_tags, t, m, text_vectors(cards), card_vectors(cards), MERGE), t, m, in_deck, card_tags
+
+
+def theme_profile_full(spark: SparkSession, d: str) -> DataFrame:
+    """Every item of every deck's profile: members, tags, constituents, unassigned, universe, noise, missing."""
+    c, _, m, in_deck, card_tags = _classified_decks(spark, d)
+    return themes.profile_rows(c, m, cut(themes.tag_universe(in_deck, card_tags)), _missing(spark, d))
+
+
+def theme_centroid(spark: SparkSession, d: str) -> DataFrame:
+    c, t, *_ = _classified_decks(spark, d)
+    return themes.centroids(c.merged, t).select("deck_id", "label", F.posexplode("centroid").alias("i", "x")).select("deck_id", "label", F.col("i").cast("long").alias("i"), F.round(F.col("x") + 0.0, 5).alias("x"))
+
+
 def _vocabularies(in_deck: DataFrame) -> DataFrame:
     """(deck_id, keywords, subtypes): the words of each deck's cards (deck_id, keywords, type_line), sorted."""
 
@@ -350,7 +388,7 @@ def eta_squared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuse_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Text and tag vectors combined; of a text vector only the first 16 numbers count (see ``text_vectors``)."""
+    """Text and tag vectors combined (see ``text_vectors``)."""
     cards, card_tags = _base(spark, d, "text_embedding")
     return embedding.fuse(text_vectors(cards), card_tags, tag_vectors(spark, d), ALPHA).select("card_id", F.posexplode("vec").alias("i", "x")).select("card_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") + 0.0, 5).alias("x"))
 
@@ -384,13 +422,41 @@ def cluster_profile(spark: SparkSession, d: str) -> DataFrame:
     return size.join(votes.withColumnRenamed("cluster", "cluster_id"), "cluster_id", "left").select("deck_id", "cluster", label.alias("label"), "n_cards")
 
 
-def train_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Each deck's best of 50 trials, over whole decks with their own keywords and subtypes."""
+def cluster_centroid(spark: SparkSession, d: str) -> DataFrame:
+    """The centroid of each deck's density clusters, from the cards' own vectors."""
+    cards = cut(_deck_cards(spark, d))
+    vecs = cards.filter("vec is not null").select("card_id", "vec").dropDuplicates(["card_id"])
+    c = density.centroids(density.clusters(cards), vecs)
+    return c.select("deck_id", "cluster", F.posexplode("centroid").alias("i", "x")).select("deck_id", "cluster", F.col("i").cast("long").alias("i"), F.round(F.col("x") + 0.0, 5).alias("x"))
+
+
+def _trained(spark: SparkSession, d: str, n: int = 50) -> tuple[DataFrame, DataFrame, list, dict]:
+    """Decks with their words, each one's best trial, the trials and where the words are."""
     knobs = ["types", "mana_cost", "keywords", "colors", "color_identity", "power", "toughness"]
-    drawn = density.trials(knobs, 50, seed=7)
+    drawn = density.trials(knobs, n, seed=7)
     cards = cut(_deck_cards(spark, d, "type_line", "mana_cost", "keywords", "colors", "color_identity", "power", "toughness"))
     words = _vocabularies(cards).select("deck_id", F.col("keywords").alias("vocab_keywords"), F.col("subtypes").alias("vocab_subtypes"))
-    return density.best_trials(density.trained(cards.join(words, "deck_id"), drawn, vocab={"keywords": F.col("vocab_keywords"), "subtypes": F.col("vocab_subtypes")}))
+    cards = cards.join(words, "deck_id")
+    vocab = {"keywords": F.col("vocab_keywords"), "subtypes": F.col("vocab_subtypes")}
+    return cards, density.best_trials(density.trained(cards, drawn, vocab=vocab)), drawn, vocab
+
+
+def train_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Each deck's best of 50 trials, over whole decks with their own keywords and subtypes."""
+    return _trained(spark, d)[1]
+
+
+def train_best(spark: SparkSession, d: str) -> DataFrame:
+    """The weights of each deck's best trial."""
+    _, best, drawn, _ = _trained(spark, d)
+    return density.weights_of(best, drawn)
+
+
+def train_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Each deck's clusters by the weights it was trained to, with their sizes; noise is cluster -1."""
+    cards, best, drawn, vocab = _trained(spark, d)
+    held = density.trained_clusters(cards, cut(best), drawn, vocab=vocab)
+    return held.groupBy("deck_id", "cluster").agg(F.count("*").alias("n_cards"))
 
 
 def text_encode(spark: SparkSession, d: str) -> DataFrame:
@@ -401,7 +467,7 @@ _ALL = (
     content_signature, alias_array, face_fallback, decklist_parse, slugify, type_line_vector, mana_vector, pt_vector, multi_hot, tag_text,
     name_lookup, resolve_deck, card_diff_merge, tag_invert, tag_catalog, tag_attach_diff, first_per_group, top_tags, tag_stats, list_by_tag,
     cap_and_page, signal_extract, ttl_cache, embed_queue, invalidation, display_names, health_counts, jsonl_roundtrip, descendants, tag_roots,
-    theme_coverage, theme_representative, classify_card, theme_pairs, theme_merge, noise_tags, theme_profile, deck_vocab, label_vote, eta_squared,
-    fuse_vectors, augmented_cosine, cluster_profile, train_weights, text_encode,
+    theme_coverage, theme_order, theme_representative, classify_card, theme_pairs, theme_merge, noise_tags, tag_universe, theme_profile, theme_profile_full, theme_centroid, deck_vocab, label_vote, eta_squared,
+    fuse_vectors, augmented_cosine, cluster_profile, cluster_centroid, train_weights, train_best, train_profile, text_encode,
 )
 QUERIES = {f.__name__: f for f in _ALL}

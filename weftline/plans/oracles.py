@@ -54,7 +54,8 @@ repn AS (SELECT name, sqrt(sum(x * x)) AS n FROM rep0 GROUP BY name),
 rep AS (SELECT rep0.name, i, CASE WHEN n > 0 THEN x / n ELSE x END AS x FROM rep0 JOIN repn USING (name)),
 th AS (SELECT wide.* FROM wide WHERE name IN (SELECT name FROM rep)),
 thm AS (SELECT mem.* FROM mem WHERE name IN (SELECT name FROM th))"""
-_TEXT = f"""tx AS (SELECT _id AS card_id, CAST(text_embedding[1:16] AS DOUBLE[]) AS v FROM cc WHERE len(text_embedding) = 64 AND {_usable('text_embedding[1:16]', 16)})"""
+_TEXT = f"""tx0 AS (SELECT _id AS card_id, CAST(text_embedding AS DOUBLE[]) AS e FROM cc WHERE {_usable('text_embedding', 64)}),
+tx1 AS (SELECT card_id, list_transform(range(1, 17), lambda i: e[i] + e[i + 16] + e[i + 32] + e[i + 48]) AS v FROM tx0), tx AS (SELECT * FROM tx1 WHERE {_usable('v', 16)})"""
 _CLASS = f"""{_TEXT},
 repl AS (SELECT name, list(x ORDER BY i) AS r FROM rep GROUP BY name),
 hit AS (SELECT DISTINCT ct.card_id, thm.name FROM ct JOIN thm ON thm.member = ct.slug),
@@ -107,8 +108,9 @@ CASE WHEN oracle_text IS NULL THEN array_to_string(list_transform({_FACES}, lamb
     "resolve_deck": f"""WITH {CC}, {_INDEX}, {_LINES}, x AS (SELECT deck_id, pos, name, (SELECT min(card_id) FROM ix WHERE ix.low = lower(pl.name)) AS card_id FROM pl)
 SELECT deck_id, pos, name, card_id FROM (SELECT *, row_number() OVER (PARTITION BY deck_id, coalesce(card_id, '?' || name) ORDER BY pos) AS rn FROM x) WHERE rn = 1""",
     "card_diff_merge": """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_no, _id ORDER BY delivered_at DESC) AS rn FROM card_snapshots WHERE _id IS NOT NULL) WHERE rn = 1),
-n AS (SELECT * FROM r WHERE snapshot_no = (SELECT max(snapshot_no) FROM r)), o AS (SELECT * FROM r WHERE snapshot_no = (SELECT min(snapshot_no) FROM r))
-SELECT CASE WHEN o._id IS NULL THEN 'new' WHEN n.oracle_text_sha IS DISTINCT FROM o.oracle_text_sha THEN 'changed' WHEN o.name IS NULL OR o.oracle_id IS NULL THEN 'patched' ELSE 'unchanged' END AS status, count(*) AS n_cards FROM n LEFT JOIN o ON o._id = n._id GROUP BY 1""",
+s AS (SELECT snapshot_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS b FROM (SELECT DISTINCT snapshot_no FROM r)),
+n AS (SELECT r.*, s.b FROM r JOIN s ON s.snapshot_no = r.snapshot_no WHERE s.b IS NOT NULL)
+SELECT n.snapshot_no, CASE WHEN o._id IS NULL THEN 'new' WHEN n.oracle_text_sha IS DISTINCT FROM o.oracle_text_sha THEN 'changed' WHEN o.name IS NULL OR o.oracle_id IS NULL THEN 'patched' ELSE 'unchanged' END AS status, count(*) AS n_cards FROM n LEFT JOIN r o ON o._id = n._id AND o.snapshot_no = n.b GROUP BY 1, 2""",
     "tag_invert": f"""WITH {CC}, t AS (SELECT DISTINCT {_key('oracle_id')} AS k, lower(trim(x)) AS s FROM (SELECT oracle_id, unnest(tags) AS x FROM cc) WHERE trim(x) <> '')
 SELECT k AS oracle_key, string_agg(s, ',' ORDER BY s) AS slugs FROM t WHERE k <> '' GROUP BY k""",
     "tag_catalog": f"""WITH RECURSIVE {_TAGS}, p AS (SELECT slug, string_agg(x, ',' ORDER BY x) AS v FROM pp WHERE x IN (SELECT slug FROM nodes) GROUP BY slug), c AS (SELECT slug, string_agg(x, ',' ORDER BY x) AS v FROM ch WHERE x IN (SELECT slug FROM nodes) GROUP BY slug)
@@ -132,14 +134,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY commander, id ORDER BY lift DESC
     "embed_queue": f"WITH {CC} SELECT _id FROM cc WHERE oracle_text <> '' AND NOT (text_embedding IS NOT NULL AND coalesce(oracle_text_sha = {_SIG}, false))",
     "invalidation": f"""WITH {CC}, f AS (SELECT text_embedding IS NOT NULL AS t, card_vector IS NOT NULL AS c, oracle_text_sha IS NOT DISTINCT FROM {_SIG} AS fits FROM cc)
 SELECT count(*) FILTER (t) AS n_text_vectors, count(*) FILTER (t AND NOT fits) AS n_stale_text, count(*) FILTER (c AND (NOT t OR NOT fits)) AS n_stale_fused, count(*) FILTER (c) AS n_stale_on_new_alpha FROM f""",
-    "display_names": f"""WITH {CC}, l AS (SELECT _id, coalesce(name, _id) AS shown, list_filter(coalesce(tags, []), lambda x: x IS NOT NULL) AS t FROM cc)
-SELECT _id, shown, array_to_string(t[1:2], ', ') || CASE WHEN len(t) > 2 THEN ' (+' || (len(t) - 2) || ' more)' ELSE '' END AS tags_head FROM l""",
+    "display_names": f"""WITH {CC}, l AS (SELECT s._id, coalesce(cc.name, s._id) AS shown, list_filter(coalesce(cc.tags, []), lambda x: x IS NOT NULL) AS t FROM (SELECT DISTINCT scryfall_id AS _id FROM card_signals WHERE scryfall_id IS NOT NULL) s LEFT JOIN cc ON cc._id = s._id)
+SELECT _id, shown, array_to_string(list_concat(t[1:2], CASE WHEN len(t) > 2 THEN ['(+' || (len(t) - 2) || ' more)'] ELSE [] END), ', ') AS tags_head FROM l""",
     "health_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("cards", "tags", "card_signals", "card_snapshots", "oracle_register")),
     "jsonl_roundtrip": f"WITH {CC} SELECT _id, name, oracle_text, cmc, array_to_string(keywords, ',') AS keywords FROM cc",
     "descendants": f"WITH RECURSIVE {_TAGS} SELECT slug, member FROM dn",
     "tag_roots": f"WITH RECURSIVE {_TAGS} SELECT slug, root FROM rt",
     "theme_coverage": f"{_ALL} SELECT name, coverage FROM th",
-    "theme_representative": f"{_ALL} SELECT name, CAST(i AS BIGINT) AS i, round(x + 0.0, 6) AS x FROM rep WHERE name IN (SELECT name FROM th)",
+    "theme_order": f"{_ALL} SELECT name, coverage, row_number() OVER (ORDER BY coverage DESC, name) AS place FROM th",
+    "theme_representative": f"{_ALL} SELECT name, CAST(i AS BIGINT) AS i, round(x, 6) + 0.0 AS x FROM rep WHERE name IN (SELECT name FROM th)",
     "classify_card": f"{_ALL} SELECT card_id, name FROM cl",
     "theme_pairs": f"{_ALL} SELECT deck_id, a, b, round(sim, 5) AS sim FROM prs",
     "theme_merge": f"{_ALL} SELECT deck_id, name, keeper FROM mm",
@@ -149,6 +152,18 @@ nn AS (SELECT deck_id, keeper, count(*) AS n_cards FROM pla GROUP BY deck_id, ke
 tt AS (SELECT deck_id, keeper, string_agg(slug, ',' ORDER BY slug) AS tags FROM (SELECT DISTINCT pla.deck_id, pla.keeper, ct.slug FROM pla JOIN ct USING (card_id) SEMI JOIN (SELECT mm.deck_id, mm.keeper, thm.member FROM mm JOIN thm USING (name)) z ON z.deck_id = pla.deck_id AND z.keeper = pla.keeper AND z.member = ct.slug) GROUP BY deck_id, keeper),
 lo AS (SELECT deck_id, count(*) AS n FROM dk WHERE card_id NOT IN (SELECT card_id FROM cl) GROUP BY deck_id)
 SELECT nn.deck_id, nn.keeper AS label, n_cards, coalesce(tags, '') AS tags, constituents, coalesce(lo.n, 0) AS n_unassigned FROM nn JOIN cs USING (deck_id, keeper) LEFT JOIN tt USING (deck_id, keeper) LEFT JOIN lo USING (deck_id)""",
+    "tag_universe": f"WITH RECURSIVE {CC}, {_CT}, {_DECKS} SELECT DISTINCT deck_id, slug FROM dk JOIN ct USING (card_id)",
+    "theme_profile_full": f"""{_ALL}, pla AS (SELECT asg.*, mm.keeper FROM asg JOIN mm USING (deck_id, name)), uni AS (SELECT DISTINCT deck_id, slug FROM dk JOIN ct USING (card_id)),
+own AS (SELECT DISTINCT mm.deck_id, mm.keeper, thm.member AS slug FROM mm JOIN thm USING (name))
+SELECT deck_id, keeper AS label, 'member' AS kind, card_id AS value FROM pla
+UNION ALL SELECT deck_id, keeper, 'constituent', name FROM mm
+UNION ALL SELECT DISTINCT pla.deck_id, pla.keeper, 'tag', ct.slug FROM pla JOIN ct USING (card_id) JOIN own ON own.deck_id = pla.deck_id AND own.keeper = pla.keeper AND own.slug = ct.slug
+UNION ALL SELECT deck_id, '', 'unassigned', card_id FROM dk WHERE card_id NOT IN (SELECT card_id FROM cl)
+UNION ALL SELECT deck_id, '', 'universe', slug FROM uni
+UNION ALL SELECT deck_id, '', 'noise', slug FROM uni ANTI JOIN own USING (deck_id, slug)
+UNION ALL SELECT DISTINCT commander, '', 'missing', name FROM card_signals WHERE commander IS NOT NULL AND name IS NOT NULL AND coalesce({_key('scryfall_id')}, '') NOT IN (SELECT k FROM ids)""",
+    "theme_centroid": f"""{_ALL}, c0 AS (SELECT mm.deck_id, mm.keeper, rep.i, avg(rep.x) AS x FROM mm JOIN rep USING (name) GROUP BY ALL), cn AS (SELECT deck_id, keeper, sqrt(sum(x * x)) AS n FROM c0 GROUP BY ALL)
+SELECT deck_id, keeper AS label, CAST(i AS BIGINT) AS i, round(CASE WHEN n > 0 THEN x / n ELSE x END, 5) + 0.0 AS x FROM c0 JOIN cn USING (deck_id, keeper)""",
     "deck_vocab": f"""WITH {CC}, {_DECKS}, w AS (SELECT dk.deck_id, cc.keywords, cc.type_line FROM dk JOIN cc ON cc._id = dk.card_id),
 k AS (SELECT deck_id, string_agg(x, ',' ORDER BY x) AS v FROM (SELECT DISTINCT deck_id, lower(unnest(keywords)) AS x FROM w) WHERE x IS NOT NULL GROUP BY deck_id), s AS (SELECT deck_id, string_agg(x, ',' ORDER BY x) AS v FROM (SELECT DISTINCT deck_id, unnest({_RIGHT}) AS x FROM w) GROUP BY deck_id)
 SELECT d.deck_id, coalesce(k.v, '') AS keywords, coalesce(s.v, '') AS subtypes FROM (SELECT DISTINCT deck_id FROM w) d LEFT JOIN k USING (deck_id) LEFT JOIN s USING (deck_id)""",
@@ -162,7 +177,7 @@ SELECT g.deck_id, CASE WHEN n < 2 OR sst <= 1e-18 THEN 0.0 ELSE round(greatest(0
 m0 AS (SELECT ct.card_id, i, avg(x) AS x FROM ct JOIN tv USING (slug) GROUP BY ct.card_id, i), m1 AS (SELECT card_id, list(x ORDER BY i) AS m FROM m0 GROUP BY card_id),
 m AS (SELECT card_id, list_transform(m, lambda x: CASE WHEN list_inner_product(m, m) > 0 THEN x / sqrt(list_inner_product(m, m)) ELSE x END) AS m FROM m1),
 f AS (SELECT u.card_id, CASE WHEN m.m IS NULL THEN u.v ELSE list_transform(list_zip(u.v, m.m), lambda z: {ALPHA} * z[1] + (1 - {ALPHA}) * z[2]) END AS f FROM u LEFT JOIN m USING (card_id))
-SELECT card_id, CAST(i AS BIGINT) AS i, round(f[i + 1] / sqrt(list_inner_product(f, f)) + 0.0, 5) AS x FROM (SELECT card_id, f, unnest(range(16)) AS i FROM f)""",
+SELECT card_id, CAST(i AS BIGINT) AS i, round(f[i + 1] / sqrt(list_inner_product(f, f)), 5) + 0.0 AS x FROM (SELECT card_id, f, unnest(range(16)) AS i FROM f)""",
     "augmented_cosine": f"""WITH {CC}, b AS (SELECT _id, CAST(card_vector AS DOUBLE[]) AS v, {_hot('coalesce(colors, [])', _list(COLOURS))} AS c, {_stat('power')} AS p FROM cc WHERE {_usable('card_vector', 64)}),
 n AS (SELECT _id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v, list_transform(c, lambda x: CASE WHEN list_sum(c) > 0 THEN 0.8 * x / sqrt(list_sum(c)) ELSE 0 END) AS c, list_transform(p, lambda x: CASE WHEN p[2] > 0 THEN 0.5 * x / sqrt(p[1] * p[1] + p[2] * p[2]) ELSE 0 END) AS p FROM b),
 z AS (SELECT _id, list_concat(list_concat(v, CAST(c AS DOUBLE[])), CAST(p AS DOUBLE[])) AS v FROM n)

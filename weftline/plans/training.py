@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from weftline.operators.hierarchy import hierarchy
 from weftline.operators.references import counted, unheld
 from weftline.operators.snapshots import changes
-from weftline.runtime import newest
-from weftline.sources import table
+from weftline.runtime import cut
+from weftline.sources import latest_cards, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = newest(table(spark, sf_dir, "cards").select("_id", "oracle_id", "added_at", "removed_at", "updated_at"), ["_id"], "updated_at")
+    cards = cut(latest_cards(spark, sf_dir, "oracle_id", "added_at", "removed_at"))
     signals, register = table(spark, sf_dir, "card_signals"), table(spark, sf_dir, "oracle_register")
     a = unheld(cards, register, "_id", "oracle_id", "added_at", "oracle_id", "registered_at", "deleted_at")
     b = unheld(signals, cards, "signal_id", "scryfall_id", "fetched_at", "_id", "added_at", "removed_at")

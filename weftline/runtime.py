@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
 
 
 def session(app: str = "weftline", master: str = "local[8]", **conf: str) -> SparkSession:
@@ -47,12 +48,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    """The folder of this application's tables, deleted when Python ends."""
+    app = spark.sparkContext.applicationId
+    at = f"{shared_dir(spark)}/weftline-{app}"
+    if app not in _FOLDERS:
+        _FOLDERS[app] = at
+        atexit.register(_swept, spark, at)
+    return at
+
+
+def _swept(spark: SparkSession, at: str) -> None:
+    try:
+        _deleted(spark, at)
+    except Exception:  # noqa: BLE001 - the session is gone; its folder is the cluster's to clean
+        pass
+
+
+def _deleted(spark: SparkSession, at: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Cut:
     """A table written to the shared folder: ends the lineage and survives the loss of executors."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/weftline-{uuid.uuid4().hex}"
+        self.path = f"{_folder(self.spark)}/{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.parquet(self.path)
 
@@ -62,9 +85,7 @@ class Cut:
 
     def drop(self) -> None:
         """Delete the files; only once nothing lazy still reads them."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _deleted(self.spark, self.path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -78,6 +99,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     to = os.path.join(tempfile.mkdtemp(prefix="weftline-"), "weftline.zip")
+    atexit.register(shutil.rmtree, os.path.dirname(to), ignore_errors=True)
     with zipfile.ZipFile(to, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(Path("weftline") / p.relative_to(root)))
@@ -85,16 +107,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def newest(df: DataFrame, keys: list[str], order: str, tie: list[str] | None = None) -> DataFrame:
     """The row that counts for each key: the one latest by ``order``.
 
     Rows with a null key are dropped (they cannot be told apart); a null ``order`` is oldest; ties are broken by a hash
-    of the whole row, so the result does not depend on the partitioning. Spark limits each group before the shuffle,
+    of the columns ``tie`` (default: all others), so the result does not depend on the partitioning. Who reads different
+    columns of one table should give the same ``tie`` everywhere, or else equal rows may be told apart differently. Spark limits each group before the shuffle,
     so a key with very many rows stays small.
     """
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
     rest = [c for c in df.columns if c not in (*keys, order)]
-    tie: Column = F.xxhash64(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), tie)
+    rest = rest if tie is None else tie
+    mark: Column = F.xxhash64(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), mark)
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")

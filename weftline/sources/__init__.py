@@ -1,5 +1,5 @@
 """Sources and sinks of the engine."""
 
-from weftline.sources.tables import table
+from weftline.sources.tables import latest_cards, table
 
-__all__ = ["table"]
+__all__ = ["latest_cards", "table"]
