@@ -45,9 +45,42 @@ def test_from_files_to_vectors(spark, tmp_path):
 
     text, code = flows.show_card(store, "BOLT")
     assert code == 0 and text.startswith("Bolt  [a]") and "tags: spot" in text and flows.show_card(store, "none")[1] == 1
-    assert "cards: 1" in flows.show_tag(store, "spot")[0] and flows.show_tag(store, "none")[1] == 1
+    assert flows.show_tag(store, "spot")[0] == "spot  (Spot)\n    description : one\n    parents     : removal\n    children    : (none)\n    aliases     : (none)\n    cards tagged: 1" and flows.show_tag(store, "none")[1] == 1
     assert flows.show_list(store, limit=1)[0].endswith("showing 1 of 2") and flows.show_list(store, limit=0)[0].endswith("showing 2 of 2") and flows.show_list(store, tag="none")[1] == 1
     assert "with tags: 1 (50.0 %)" in flows.show_stats(store)
+    told = flows.export_cards(store, ["BOLT", "none", "Wrath", "BOLT"], str(tmp_path / "out" / "x.json"))
+    assert told == {"missing": ["none"], "ambiguous": {}, "entries": 2}
+    assert json.loads((tmp_path / "out" / "x.json").read_text())["BOLT"][0]["scryfall_id"] == "a"
+
+
+def test_packed_lines_under_any_name(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "odd.jsonl").write_bytes(gzip.compress(b'{"id": "a"}\n\n{"id": "b"}\n'))
+    (tmp_path / "plain.jsonl").write_text('{"id": "c"}\n')
+    got = lambda at: sorted(r.id for r in files.json_lines(spark, str(tmp_path / at), "id string").collect())
+    assert got("odd.jsonl") == ["a", "b"] and got("plain.jsonl") == ["c"] and got("*.jsonl") == ["a", "b", "c"]
+    (tmp_path / "bad.jsonl").write_bytes(gzip.compress(b"{"))
+    with pytest.raises(Exception):
+        files.json_lines(spark, str(tmp_path / "bad.jsonl"), "id string").collect()
+
+
+def test_replaced_table_keeps_its_last_version_and_settings_file(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/s")
+    frame = lambda n: spark.createDataFrame([(n,)], "n int")
+    store.replace("t", frame(1))
+    held = store.read("t")
+    store.replace("t", frame(2))
+    assert held.first().n == 1 and store.read("t").first().n == 2
+    store.replace("t", frame(3))
+    assert store.read("t").first().n == 3 and len([x for x in (tmp_path / "s" / "t").iterdir() if x.is_dir()]) == 2
+    (tmp_path / ".env").write_text(f"# where\nexport WEFTLINE_ROOT='{store.root}'\n")
+    monkeypatch.delenv("WEFTLINE_ROOT", raising=False)
+    monkeypatch.chdir(tmp_path)
+    assert Store.from_env(spark).root == store.root
+    (tmp_path / ".env").unlink()
+    with pytest.raises(RuntimeError, match="WEFTLINE_ROOT"):
+        Store.from_env(spark)
 
 
 def test_signals_cache_and_ties(spark, tmp_path):

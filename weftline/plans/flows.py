@@ -133,7 +133,28 @@ def show_tag(store: Store, slug: str) -> tuple[str, int]:
     if row is None:
         return f"no tag {slug!r}", 1
     n = cx.by_tag(store.read("cards"), slug).count()
-    return f"{row.label or slug}  [{slug}]\n    {row.description or ''}\n    parents: {', '.join(row.parent_slugs) or '(none)'}\n    children: {', '.join(row.child_slugs) or '(none)'}\n    cards: {n}", 0
+    told = lambda values: ", ".join(values or []) or "(none)"
+    # The wordings of the block.
+    lines = [f"{slug}  ({row.label or slug})", f"    description : {row.description or '(no description)'}", f"    parents     : {told(row.parent_slugs)}", f"    children    : {told(row.child_slugs)}", f"    aliases     : {told(row.aliases)}", f"    cards tagged: {n}"]
+    return "\n".join(lines), 0
+
+
+def export_cards(store: Store, names: list[str], path: str) -> dict[str, object]:
+    """Cards of the asked names as one JSON file; which names are no card, which several cards, and how many entries.
+
+    Names are those a person asks for, so the result comes to the driver. An empty table of cards is an error.
+    """
+    cards = store.read("cards")
+    if cards.isEmpty():
+        raise ValueError(f"no cards in {store.root}: import a bulk file first")
+    asked = list(dict.fromkeys(x for x in names if x))
+    want = store.spark.createDataFrame([(x, x.lower()) for x in asked], "name string, low string")
+    index = cx.name_index(cards).join(want, F.col("name_lower") == F.col("low")).select(F.col("name").alias("asked"), "card_id")
+    hits = index.join(cards.withColumnRenamed("_id", "card_id"), "card_id").select("asked", F.col("card_id").alias("scryfall_id"), "oracle_id", "name", "type_line", "oracle_text")
+    hits = cut(hits)
+    many = {r.asked: r["count"] for r in hits.groupBy("asked").count().collect()}
+    files.export_json(hits, "asked", path, cx.EXPORTED)
+    return {"missing": [x for x in asked if x not in many], "ambiguous": {k: n for k, n in sorted(many.items()) if n > 1}, "entries": sum(many.values())}
 
 
 def show_list(store: Store, tag: str | None = None, limit: int = 20) -> tuple[str, int]:

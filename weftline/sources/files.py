@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +24,54 @@ id:string,name:string,lift:double,synergy:double,num_decks:bigint,potential_deck
 
 def bulk_entry(catalogue: DataFrame, kind: str) -> DataFrame:
     """The first entry of a kind in a catalogue of bulk files (type, download_uri, updated_at); an error if none is."""
-    hit = catalogue.filter(F.col("type") == kind).limit(1)
+    hit = catalogue.filter(F.col("type") == kind).coalesce(1).limit(1)
     if hit.isEmpty():
         raise RuntimeError(f"the catalogue has no entry of type {kind}")
     return hit
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object a line; a name that ends in .gz is unpacked; blank lines are skipped, broken ones an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """One object a line; blank lines are skipped, broken ones an error.
+
+    Spark unpacks by name (.gz); files that are packed under another name, as their first two bytes tell, are unpacked
+    as streams, each in one task, as a packed file is in any case.
+    """
+    odd = [at for at in _files(spark, path) if not at.endswith(".gz") and _packed(spark, at)]
+    if not odd:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    plain = [at for at in _files(spark, path) if at not in odd]
+    lines = spark.read.format("binaryFile").load(odd).select("content").mapInArrow(_unpacked, "value string")
+    every = lines.unionByName(spark.read.text(plain)) if plain else lines
+    each = every.filter(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x"))
+    return each.select("x.*")
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, which may be a folder or a pattern, stands for."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for s in fs.globStatus(at) or []:
+        out += [x.getPath().toString() for x in (fs.listStatus(s.getPath()) if s.isDirectory() else [s]) if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    return out
+
+
+def _packed(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return (stream.read(), stream.read()) == (0x1F, 0x8B)
+    finally:
+        stream.close()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for content in b.column(0):
+            with gzip.open(io.BytesIO(content.as_buffer()), "rt", encoding="utf-8") as f:
+                while some := list(islice(f, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\r\n") for x in some], pa.string())], names=["value"])
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
