@@ -118,11 +118,12 @@ def llr(ab: Column, a: Column, b: Column, n: Column) -> Column:
     return 2.0 * (term(ab, a, b) + term(a - ab, a, nb) + term(b - ab, na, b) + term(n - a - b + ab, na, nb))
 
 
-def cooccurrences(records: DataFrame, terms: str, n_records: int, at_least: int = 1) -> DataFrame:
+def cooccurrences(records: DataFrame, terms: str, n_records: int, at_least: int = 1, significant: float | None = None) -> DataFrame:
     """(slug_a, slug_b, n_both, n_a, n_b, lift, llr) for every two values that at least ``at_least`` records hold both.
 
     slug_a < slug_b by bytes. Values are cleaned as in ``term_counts`` and count once a record; each row is one record.
-    ``lift`` is n_both * n_records / (n_a * n_b). Empty tables and records of less than two values give no rows.
+    ``lift`` is n_both * n_records / (n_a * n_b). Empty tables and records of less than two values give no rows. ``significant`` keeps pairs that occur
+    together more often than by chance with at least that log-likelihood ratio (10.83 is the 0.1 % level).
 
     A worker adds up its rows into stripes (an item, its neighbours, their counts, itself included) and sends one piece
     of each; the pieces are merged by item and neighbour. What is shuffled follows the distinct pairs a worker saw.
@@ -133,7 +134,7 @@ def cooccurrences(records: DataFrame, terms: str, n_records: int, at_least: int
     once = records.select(F.array_sort(F.array_distinct(clean_terms(F.col(f"`{terms}`")))).alias("once")).filter("size(once) > 0")
     merged = cut(once.mapInArrow(_stripes(spots), STRIPE).groupBy("spot").applyInArrow(_merge, "a string, b string, n long"))
     alone = merged.filter("a = b").select("a", "n")
-    return (
+    out = (
         merged.filter((F.col("a") != F.col("b")) & (F.col("n") >= at_least))
         .withColumnRenamed("n", "n_both")
         .join(alone.select("a", F.col("n").alias("n_a")), "a")
@@ -148,3 +149,4 @@ def cooccurrences(records: DataFrame, terms: str, n_records: int, at_least: int
             llr(F.col("n_both").cast("double"), F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.lit(float(n_records))).alias("llr"),
         )
     )
+    return out if significant is None else out.filter((F.col("llr") >= significant) & (F.col("lift") > 1))

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.canonical import alike_classes, alike_pairs, canonical_texts
+from weftline.llm.canonical import Forms, alike_classes, alike_pairs, canonical_texts
 from weftline.llm.clusters import described, groups
 from weftline.llm.cooccurrence import cooccurrences
 from weftline.llm.mixing import Mix
 from weftline.llm.packing import Packing, packed, packing_report
 from weftline.llm.terms import marks, term_counts
 from weftline.llm.vectors import similar_pairs
-from weftline.runtime import cut, newest
-from weftline.sources import table
+from weftline.runtime import cut
+from weftline.sources import latest_cards, table
 
 
 def _cards(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Of each card the row that counts."""
-    return newest(table(spark, sf_dir, "cards").select("_id", *columns, "updated_at"), ["_id"], "updated_at")
+    return latest_cards(spark, sf_dir, *columns)
 
 
 def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +142,37 @@ _NEAR = """SELECT '{f}' AS vector_field, least(q, d) AS card_a, greatest(q, d) A
     SELECT x._id AS q, y._id AS d, list_cosine_similarity(x.v, y.v) AS s FROM u_{f} x JOIN u_{f} y ON x._id <> y._id)) WHERE r <= 5 AND s >= 0.92"""
 _UNITS = """u_{f} AS (SELECT _id, CAST({f} AS DOUBLE[]) AS v FROM cc WHERE len({f}) = 64 AND len(list_filter({f}, lambda x: isfinite(x))) = 64 AND len(list_filter({f}, lambda x: x <> 0)) > 0)"""
 
+# Tokens counted roughly, by runs of letters, digits and signs: no case is so close that the tokenizer matters.
+_TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}]{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]+|\n'))"
+
+
+def _shown_table() -> str:
+    """What each character shows, where that is not itself, as rows (ch, shown)."""
+    forms = Forms()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    every = (chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c <= 0xDFFF)
+    rows = [(ch, forms.shown(ch)) for ch in every if unicodedata.category(ch) not in ("Cn", "Co") and unicodedata.normalize("NFC", forms.shown(ch)) != ch]
+    low = [(chr(c), "") for c in (*range(1, 9), *range(11, 32), 127)]
+    return ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in [*rows, *low])
+
+
+def _alike_sql(select: str) -> str:
+    return f"""WITH sh(ch, shown) AS (VALUES {_shown_table()}), d AS (SELECT doc_id, text, regexp_full_match(text, '[\\n\\t\\x20-\\x7e]*') AS plain FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+u AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM d WHERE NOT plain),
+n AS (SELECT doc_id, nfc_normalize(coalesce(string_agg(coalesce(shown, u.ch), '' ORDER BY i), '')) AS canon FROM u LEFT JOIN sh ON sh.ch = u.ch GROUP BY doc_id),
+t AS (SELECT d.doc_id, d.text, coalesce(n.canon, CASE WHEN plain THEN d.text ELSE '' END) AS canon FROM d LEFT JOIN n USING (doc_id)) {select}"""
+
+
 ORACLES = {
     "p3_found": f"WITH {_TERMS} SELECT slug, mark FROM m WHERE mark IS NOT NULL",
     "p3_terms": f"WITH {_TERMS} SELECT slug, n_occ, n_rec, mark FROM m",
     "p5_found": f"WITH {_CC}, {_UNITS.format(f='card_vector')}, {_UNITS.format(f='text_embedding')} SELECT DISTINCT * FROM ({_NEAR.format(f='card_vector')} UNION ALL {_NEAR.format(f='text_embedding')})",
     "p6_found": f"WITH {_PAIRS} SELECT slug_a, slug_b FROM q WHERE n_both >= 5 AND n_both * n >= 3 * n_a * n_b",
     "p6_pairs": f"WITH {_PAIRS} SELECT slug_a, slug_b, n_both, n_a, n_b, n_both * CAST(n AS DOUBLE) / (n_a * n_b) AS lift, 2.0 * ({_term('n_both', 'n_a', 'n_b')} + {_term('n_a - n_both', 'n_a', 'n - n_b')} + {_term('n_b - n_both', 'n - n_a', 'n_b')} + {_term('n - n_a - n_b + n_both', 'n - n_a', 'n - n_b')}) AS llr FROM q",
+    "p8_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > 2048",
+    "p9_found": f"""WITH s AS (SELECT lower(trim(source)) AS source, sum({_TOKENS}) AS n FROM documents GROUP BY 1),
+t AS (SELECT lower(trim(source)) AS source, sum(target_share) AS share, max(max_repeats) AS cap FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+q AS (SELECT t.source, share, cap, coalesce(n, 0) AS n, sum(n) OVER () AS total FROM t LEFT JOIN s ON s.source = t.source) SELECT source FROM q WHERE n * cap < share * total""",
+    "p10_found": _alike_sql("SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b FROM t a JOIN t b ON a.canon = b.canon AND a.text < b.text"),
+    "p10_classes": _alike_sql("SELECT doc_id, class_id, n_docs, n_texts FROM t JOIN (SELECT canon, min(doc_id) AS class_id, count(*) AS n_docs, count(DISTINCT text) AS n_texts FROM t GROUP BY canon) c USING (canon) WHERE n_texts > 1"),
 }

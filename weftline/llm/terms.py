@@ -14,8 +14,9 @@ from weftline.runtime import ship
 
 BURST = 256  # terms that a container holds before it bursts into one for each next character
 FLUSH = 200_000  # distinct terms that a worker holds before it sends its trie on
-ROUTE_SAMPLE = 8192  # distinct terms, by hash, from which the routing prefixes are taken; it decides only who merges what
-ROUTE_TERMS = 64
+ROUTE_SAMPLE = 1 << 20  # at most so many distinct terms, by hash, from which routing prefixes are taken; it decides only who merges what
+ROUTE_TERMS = 32  # terms of the sample that one route stands for
+A_ROUTE = 32_768  # distinct terms of one route, about, whatever the vocabulary
 SUBTREE = "route string, shared array<int>, tails array<string>, occ array<long>, rec array<long>"
 
 
@@ -159,9 +160,11 @@ def term_counts(records: DataFrame, terms: str) -> DataFrame:
     arrays = records.select(clean_terms(F.col(f"`{terms}`")).alias("every")).filter("size(every) > 0").select("every", F.array_distinct("every").alias("once"))
     each = arrays.select(F.explode("once").alias("term"))
     distinct = each.agg(F.approx_count_distinct("term")).first()[0]
-    top = 2**63 - 1 if distinct <= ROUTE_SAMPLE else int(-(2**63) + ROUTE_SAMPLE / distinct * 2**64)
-    sample = each.filter(hashed("term") <= F.lit(top)).distinct().limit(2 * ROUTE_SAMPLE).collect()
-    routes = routes_of([r.term for r in sample])
+    # As many terms as make a route for A_ROUTE of all; with few terms some routes all the same, to spread the merging.
+    most = min(ROUTE_SAMPLE, max(ROUTE_TERMS * 64, ROUTE_TERMS * distinct // A_ROUTE))
+    top = 2**63 - 1 if distinct <= most else int(-(2**63) + most / distinct * 2**64)
+    sample = each.filter(hashed("term") <= F.lit(top)).distinct().limit(2 * most).toArrow().column("term").to_pylist()
+    routes = routes_of(sample, max(ROUTE_TERMS, len(sample) * A_ROUTE // max(distinct, 1) if most == ROUTE_SAMPLE else 0))
     return arrays.mapInArrow(_count(routes), SUBTREE).groupBy("route").applyInArrow(_merge, "term string, n_occ long, n_rec long")
 
 
