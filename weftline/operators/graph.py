@@ -11,17 +11,20 @@ from weftline.runtime import Cut, cut
 def closure(edges: DataFrame) -> DataFrame:
     """(a, b): all pairs with a way of one or more links from a to b, circles included.
 
-    Ways double in length each round, so a chain of n links takes log2(n) rounds; a round is one join and one count.
+    Ways double in length each round, so a chain of n links takes log2(n) rounds. Only pairs found in the last round are
+    carried on: whatever is twice as far has one of them halfway.
     """
-    at = Cut(edges.select("a", "b").filter("a is not null and b is not null").distinct())
-    n = at.df.count()
+    at = new = Cut(edges.select("a", "b").filter("a is not null and b is not null").distinct())
     while True:
-        step = at.df.select("a", F.col("b").alias("m")).join(at.df.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        more = Cut(at.df.union(step).distinct())
-        m = more.df.count()
-        if m == n:
-            return more.df
-        at, n = more, m
+        step = new.df.select("a", F.col("b").alias("m")).join(at.df.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+        found = Cut(step.join(at.df, ["a", "b"], "left_anti"))
+        if found.df.isEmpty():
+            return at.df
+        more = Cut(at.df.unionByName(found.df))
+        at.drop()
+        if new is not at:
+            new.drop()
+        at, new = more, found
 
 
 def descendants(catalogue: DataFrame) -> DataFrame:
@@ -46,10 +49,11 @@ def components(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
     ``nodes`` is (group, name, weight), ``edges`` (group, a, b). The largest key spreads until nothing changes.
     """
     both = cut(edges.select(group, "a", "b").union(edges.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    at = Cut(nodes.select(group, "name", F.struct("weight", "name").alias("key")))
+    at = Cut(nodes.select(group, "name", F.struct("weight", "name").alias("key"), F.lit(True).alias("moved")))
     while True:
         told = both.join(at.df.select(group, F.col("name").alias("b"), F.col("key").alias("k")), [group, "b"]).groupBy(group, F.col("a").alias("name")).agg(F.max("k").alias("k"))
         new = Cut(at.df.join(told, [group, "name"], "left").select(group, "name", F.when(F.col("k") > F.col("key"), F.col("k")).otherwise(F.col("key")).alias("key"), F.coalesce(F.col("k") > F.col("key"), F.lit(False)).alias("moved")))
         if new.df.filter("moved").isEmpty():
             return new.df.select(group, "name", F.col("key.name").alias("keeper"))
-        at = Cut(new.df.drop("moved"))
+        at.drop()
+        at = new
