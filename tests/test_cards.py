@@ -114,7 +114,10 @@ def test_store_meta_health_and_export(spark, tmp_path, cards, monkeypatch):
     store.upsert("tags", spark.createDataFrame([("t", 5), ("u", 6)], "_id string, b int"), "_id")
     assert sorted(map(tuple, store.read("tags").select("_id", "a", "b").collect())) == [("t", 1, 5), ("u", None, 6)]
     rows, code = health(store)
-    assert code == 0 and rows[1] == ("Table cards", True, "3")
+    assert code == 0 and [r[0] for r in rows[:4]] == ["Connectivity", "Database", "Lookups", "Table cards"]
+    assert rows[1][1:] == (True, f"3 table(s) in {store.root}") and rows[2][1:] == (True, "names, oracle_id on cards") and rows[3] == ("Table cards", True, "3")
+    store.replace("cards", cards.drop("names"))
+    assert health(store)[1] == 1 and ("Lookups", False, "missing: names") in health(store)[0]
     monkeypatch.delenv("WEFTLINE_ROOT", raising=False)
     with pytest.raises(RuntimeError, match="WEFTLINE_ROOT"):
         Store.from_env(spark)
