@@ -1,4 +1,5 @@
 import os
+import time
 
 import numpy as np
 import pytest
@@ -179,3 +180,39 @@ def test_cluster_profile_counts_every_card_of_a_deck(spark):
         assert (r.cluster < 0) == (r.label == "unassigned")
         got[r.deck_id] = got.get(r.deck_id, 0) + r.n_cards
     assert got == want
+
+
+def _tree_row_by_row(x):
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    dist, todo, out, at = np.full(len(u), np.inf), np.ones(len(u), bool), [], 0
+    todo[0] = False
+    while todo.any():
+        d = np.clip(1 - u @ u[at], 0, 2)
+        dist = np.where(todo & (d < dist), d, dist)
+        at = int(np.where(todo, dist, np.inf).argmin())
+        out.append(dist[at])
+        todo[at] = False
+    return np.sort(out)
+
+
+@pytest.mark.parametrize("sides", [2_048, 3])
+def test_spanning_tree_of_a_large_deck_is_least_and_quick(monkeypatch, sides):
+    """Groups, noise, copies and zeros: the same lengths as by plain growth, in less than half its time for 10,000 cards."""
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(12, 32))
+    x = np.concatenate([middle[rng.integers(0, 12, 2600)] + rng.normal(size=(2600, 32)), 3 * rng.normal(size=(300, 32))])
+    x = np.concatenate([x, x[:200], x[:50] * 2, np.zeros((3, 32))])
+    monkeypatch.setattr(density, "SIDES", sides, raising=False)
+    e = density.spanning_tree(x)
+    assert len(e) == len(x) - 1 and (np.diff(e[:, 2]) >= 0).all()
+    assert np.allclose(e[:, 2], np.where(_tree_row_by_row(x) < 1e-12, 0, _tree_row_by_row(x)), atol=1e-12)
+    part = np.arange(len(x))
+    for a, b in e[:, :2].astype(int):
+        assert part[a] != part[b]
+        part[part == part[a]] = part[b]
+    big = middle[rng.integers(0, 12, 10_000)] + rng.normal(size=(10_000, 32))
+    marks = [time.perf_counter()]
+    for tree in (_tree_row_by_row, density.spanning_tree):
+        assert len(tree(big)) == 9_999
+        marks.append(time.perf_counter())
+    assert sides == 3 or marks[2] - marks[1] < 0.5 * (marks[1] - marks[0])
