@@ -216,3 +216,17 @@ def test_spanning_tree_of_a_large_deck_is_least_and_quick(monkeypatch, sides):
         assert len(tree(big)) == 9_999
         marks.append(time.perf_counter())
     assert sides == 3 or marks[2] - marks[1] < 0.5 * (marks[1] - marks[0])
+
+
+def test_training_leaves_out_what_no_card_holds_and_scores_alike():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(2_500, 16))
+    f = (rng.random((2_500, 40)) < 0.2) * 1.0
+    f[:, 5:35] = 0
+    held = density._units(pd.DataFrame({"f_types": list(f)}), ["types"])["types"]
+    assert held.shape == (2_500, 10) and np.allclose((held**2).sum(axis=1), f.any(axis=1))
+    whole = np.divide(f, np.linalg.norm(f, axis=1, keepdims=True), out=np.zeros_like(f), where=f.any(axis=1, keepdims=True))
+    labels = [density.density_labels(np.concatenate([base, 0.7 * x], axis=1), 3) for x in (held, whole)]
+    assert (labels[0] == labels[1]).all() and labels[0].max() > 0
