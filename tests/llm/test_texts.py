@@ -172,3 +172,19 @@ def test_empty_tables_and_like_lengths(spark):
     assert Mix(docs(spark, [(1, "word", "a")]), targets(spark, [])).report().collect() == []
     m = Mix(docs(spark, [(i, "word word", "a" if i % 2 else "b") for i in range(40)]), targets(spark, [("a", 0.25, 1), ("b", 0.75, 2)]))
     assert {x.source: round(x.actual_share, 2) for x in m.report().collect()} == {"a": 0.25, "b": 0.75}
+
+
+@needs_vocabulary
+def test_rates_are_found_without_passes_that_change_nothing(spark, monkeypatch):
+    """Documents are counted once and targets read once; the mix keeps each source's share and its mean length."""
+    rows = [(i, " ".join(["word"] * (1 + i * 7 % 50)), "a" if i % 3 else "b") for i in range(3000)]
+    table, want = docs(spark, rows), targets(spark, [("a", 0.4, 1), ("b", 0.6, 2)])
+    seen, real = [], type(table).collect
+    monkeypatch.setattr(type(table), "collect", lambda df: seen.append(df.columns) or real(df))
+    m = Mix(table, want)
+    monkeypatch.undo()
+    assert len(seen) == 2
+    got = m.copies().collect()
+    for s, share in (("a", 0.4), ("b", 0.6)):
+        mix, own = sum(c.n_tokens * c.copies for c in got if c.source == s), m.sources[s]
+        assert abs(mix - share * m.total) < 100 and mix / sum(c.copies for c in got if c.source == s) == pytest.approx(own["own"] / own["n"], rel=1e-3)
