@@ -230,3 +230,28 @@ def test_training_leaves_out_what_no_card_holds_and_scores_alike():
     whole = np.divide(f, np.linalg.norm(f, axis=1, keepdims=True), out=np.zeros_like(f), where=f.any(axis=1, keepdims=True))
     labels = [density.density_labels(np.concatenate([base, 0.7 * x], axis=1), 3) for x in (held, whole)]
     assert (labels[0] == labels[1]).all() and labels[0].max() > 0
+
+
+def test_a_deck_in_pieces_has_the_clusters_of_the_whole(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 8))
+    rows = []
+    for deck, n in (("hot", 700), ("small", 40), ("copies", 300)):
+        x = centres[rng.integers(0, 12, n)] + 0.25 * rng.normal(size=(n, 8))
+        if deck == "copies":
+            x = x[rng.integers(0, 90, n)]
+        rows += [(deck, f"{deck}-{i * 7919 % n:04}", [float(v) for v in x[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows + [("hot", "none", None)], "deck_id string, card_id string, vec array<float>")
+    label = lambda **k: {(r.deck_id, r.card_id): r.cluster for r in density.clusters(df, **k).collect()}
+    for more in ({}, {"epsilon": 0.2, "least": 5}):
+        want = label(**more)
+        assert len(want) == 1_040 and len(set(want.values())) > 5
+        assert label(whole=200, piece=100, **more) == want
+
+
+def test_least_edges_are_the_tree_of_all_pairs():
+    x = np.random.default_rng(3).normal(size=(60, 4))
+    i, j = np.triu_indices(60, 1)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    e = density.least_edges(i, j, 1 - np.einsum("ij,ij->i", u[i], u[j]), 60)
+    assert len(e) == 59 and np.allclose(e[:, 2], density.spanning_tree(x)[:, 2])
