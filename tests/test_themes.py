@@ -255,3 +255,33 @@ def test_least_edges_are_the_tree_of_all_pairs():
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     e = density.least_edges(i, j, 1 - np.einsum("ij,ij->i", u[i], u[j]), 60)
     assert len(e) == 59 and np.allclose(e[:, 2], density.spanning_tree(x)[:, 2])
+
+
+def test_only_heavy_decks_are_trained_by_several_tasks(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = [(deck, f"{deck}{i:04}", rng.normal(size=4).tolist(), float(rng.normal()), "Creature" if rng.random() < 0.5 else "Land") for deck, n in [("hot", 200), *((f"d{j}", 12) for j in range(60))] for i in range(n)]
+    df = spark.createDataFrame(rows, "deck_id string, card_id string, vec array<double>, lift double, type_line string")
+    drawn = density.trials(["types"], 20, seed=2)
+    taken = {}
+    real = type(df.groupBy("deck_id")).applyInArrow
+
+    def caught(grouped, run, schema):
+        def counted(t: pa.Table) -> pa.Table:
+            return pa.table({"deck_id": t.column("deck_id")[:1], "trial": pa.array([t.num_rows], pa.int32()), "eta2": [1.0]})
+
+        taken.update(groups=[(r.deck_id, r.trial) for r in real(grouped, counted, schema).collect()])
+        return real(grouped, run, schema)
+
+    monkeypatch.setattr(type(df.groupBy("deck_id")), "applyInArrow", caught)
+    got = {(r.deck_id, r.trial): r.eta2 for r in density.trained(df, drawn, chunk=5).collect()}
+    assert len(got) == 61 * 20
+    assert sorted(taken["groups"]) == sorted([("hot", 200)] * 4 + [(f"d{j}", 12) for j in range(60)])
+    f = {"Creature": 0, "Land": 1}
+    for deck in ("hot", "d7"):
+        held = sorted((r for r in rows if r[0] == deck), key=lambda r: r[1])
+        x, one = np.array([r[2] for r in held]), np.eye(2)[[f[r[4]] for r in held]]
+        for i in (0, 7, 19):
+            want = density.eta2(density.density_labels(np.concatenate([x, one * drawn[i]["types"]], axis=1), 3), np.array([r[3] for r in held]))
+            assert got[deck, i] == pytest.approx(want)
