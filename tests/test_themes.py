@@ -285,3 +285,35 @@ def test_only_heavy_decks_are_trained_by_several_tasks(spark, monkeypatch):
         for i in (0, 7, 19):
             want = density.eta2(density.density_labels(np.concatenate([x, one * drawn[i]["types"]], axis=1), 3), np.array([r[3] for r in held]))
             assert got[deck, i] == pytest.approx(want)
+
+
+def test_train_profile_keeps_the_labels_of_the_best_trial(spark, monkeypatch):
+    """One search in one shuffle of the cards, and the clusters that the best trial's weights make; heavy decks by several tasks."""
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(5, 4))
+    rows = [(deck, f"{deck}{i:04}", (middle[rng.integers(0, 5)] + 0.3 * rng.normal(size=4)).tolist(), None if deck == "bare" else float(rng.normal()), ["Creature", "Land"][int(rng.random() < 0.5)]) for deck, n in (("hot", 700), ("d", 40), ("bare", 12), ("two", 2)) for i in range(n)]
+    df = spark.createDataFrame([*rows, ("d", "none", None, 1.0, "Land")], "deck_id string, card_id string, vec array<float>, lift double, type_line string")
+    drawn = density.trials(["types"], 12, seed=5)
+    best = density.best_trials(density.trained(df, drawn, chunk=3))
+    want = {(r.deck_id, r.card_id): r.cluster for r in density.trained_clusters(df, best, drawn).collect()}
+    calls, real = [], type(df.groupBy("deck_id")).applyInArrow
+    monkeypatch.setattr(type(df.groupBy("deck_id")), "applyInArrow", lambda *a: calls.append(a) or real(*a))
+    got = density.best_clusters(df, drawn, chunk=3).collect()
+    assert len(calls) == 1 and len(got) == 754 and {(r.deck_id, r.card_id): r.cluster for r in got} == want
+    assert len({v for (deck, _), v in want.items() if deck == "hot"}) > 3
+    with pytest.raises(ValueError, match="nothing to train on"):
+        density.best_clusters(df.filter("deck_id = 'bare'"), drawn)
+
+
+def test_a_tree_compares_all_rows_once_and_keeps_few_pairs(monkeypatch):
+    """Groups, near copies and noise: what is listed stays some rows' worth, and the tree is the least one."""
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(4, 16))
+    x = np.concatenate([middle[rng.integers(0, 2, 1500)] * (1 + 1e-9 * rng.normal(size=(1500, 16))), middle[rng.integers(0, 4, 1200)] + rng.normal(size=(1200, 16)), rng.normal(size=(300, 16))])
+    monkeypatch.setattr(density, "HELD", 2)
+    held, real = [], density._exact
+    monkeypatch.setattr(density, "_exact", lambda u, a, b: held.append(len(a)) or real(u, a, b))
+    e = density.spanning_tree(x)
+    lengths = _tree_row_by_row(x)
+    assert len(e) == len(x) - 1 and np.allclose(e[:, 2], np.where(lengths < 1e-12, 0, lengths), atol=1e-12)
+    assert 0 < max(held) < 2 * len(x) + (1 << 20) + density.ROWS * density.COLS
