@@ -317,3 +317,45 @@ def test_a_tree_compares_all_rows_once_and_keeps_few_pairs(monkeypatch):
     lengths = _tree_row_by_row(x)
     assert len(e) == len(x) - 1 and np.allclose(e[:, 2], np.where(lengths < 1e-12, 0, lengths), atol=1e-12)
     assert 0 < max(held) < 2 * len(x) + (1 << 20) + density.ROWS * density.COLS
+
+
+def test_a_large_deck_is_trained_in_pieces(spark, monkeypatch):
+    """No task holds more than two pieces of a deck; scores and clusters are those of whole decks."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(6, 4))
+    rows = [(deck, f"{deck}{i * 7919 % n:04}", (middle[rng.integers(0, 6)] + 0.3 * rng.normal(size=4)).tolist(), None if i % 9 == 0 else float(rng.normal()), ["Creature", "Land"][int(rng.random() < 0.5)]) for deck, n in (("hot", 700), ("warm", 330), ("d", 40)) for i in range(n)]
+    rows += [("hot", f"hot-copy{i}", rows[i][2], 1.0, rows[i][4]) for i in range(20)]
+    df = spark.createDataFrame([*rows, ("hot", "none", None, 1.0, "Land")], "deck_id string, card_id string, vec array<float>, lift double, type_line string")
+    drawn = density.trials(["types"], 12, seed=5)
+    score = lambda **k: {(r.deck_id, r.trial): r.eta2 for r in density.trained(df, drawn, **k).collect()}
+    label = lambda **k: {(r.deck_id, r.card_id): r.cluster for r in density.best_clusters(df, drawn, **k).collect()}
+    want, names = score(), label()
+    assert len(want) == 36 and len(names) == 1_090 and len(set(names.values())) > 3
+    held, real = [], type(df.groupBy("deck_id")).applyInArrow
+
+    def caught(grouped, run, schema):
+        def counted(t: pa.Table) -> pa.Table:
+            return pa.table({"n": pa.array([t.num_rows if "vec" in t.column_names else 0])})
+
+        held.extend(r.n for r in real(grouped, counted, "n long").collect())
+        return real(grouped, run, schema)
+
+    monkeypatch.setattr(type(df.groupBy("deck_id")), "applyInArrow", caught)
+    assert score(whole=200, piece=100) == pytest.approx(want)
+    assert max(held) == 180 and label(whole=200, piece=100) == names
+
+
+def test_memory_of_a_tree_is_some_copies_of_its_rows():
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(6_000, 100))
+    x[:, :60] = np.round(x[:, :60] / 3)
+    tracemalloc.start()
+    try:
+        e = density.spanning_tree(x, own=True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(e) == 5_999 and peak < 4 * x.nbytes
